@@ -59,7 +59,7 @@ def interactions_elo(spark, sf):
     return feature_rows(spark, sf).select(*KEYS, *IX_ELO)
 
 
-@register(REGISTRY, "P10_interactions", sql(FEATURES, "SELECT * FROM f", KEYS, IX_REST, 7), 7)
+@register(REGISTRY, "P10_interactions", sql(FEATURES, "SELECT * FROM f", KEYS, IX_REST, 9), 9)
 def interactions(spark, sf):
     return feature_rows(spark, sf).select(*KEYS, *IX_REST)
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fairline.config import RATING_HALF_LIFE_DAYS, RATING_K, RATING_SCALE, RATING_START
@@ -28,9 +28,10 @@ from fairline.plans.history import Agg, anonymous_key, with_history
 from fairline.plans.slices import Slices, plan_slices
 from fairline.session import cut_lineage
 
-#: lowest carry-over from start to end rating that the correction assumes; it
-#: only steers the iteration and keeps running products inside double range
-_MIN_CARRY = 0.1
+#: A team that plays much inside a chunk forgets its start rating there; below
+#: this carry-over its end is taken as it is.  (The constant only steers the
+#: iteration, and keeps running products inside double range.)
+_MIN_CARRY = 0.5
 
 
 def expectation(diff: Column | str) -> Column:
@@ -100,7 +101,7 @@ def _chunk_ends(key, games: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
             "team": teams,
             "start": [starts[t] for t in teams],
             "end": [ends[t][0] for t in teams],
-            "carry": [max(ends[t][1], _MIN_CARRY) for t in teams],
+            "carry": [ends[t][1] if ends[t][1] >= _MIN_CARRY else 0.0 for t in teams],
         }
     )
 
@@ -122,49 +123,34 @@ def pre_match_ratings(
     """One row per game: gameid, a, b, rated, ra, rb (ratings before the game).
 
     ``chunk_games`` bounds the games one task folds per round; by default the
-    games are spread over four times the cluster's task slots.
+    games are spread over the cluster's task slots.
     """
     spark = teams.sparkSession
     table = cut_lineage(_game_table(teams), "games")
     n = table.count()
     if chunk_games is None:
         slots = max(8, spark.sparkContext.defaultParallelism)
-        chunk_games = min(500_000, max(1_000, n // (2 * slots)))
-    slices = plan_slices(table, "date", chunk_games)
+        chunk_games = min(500_000, max(2_500, n // slots))
+    slices = plan_slices(table, "date", chunk_games + chunk_games // 4)
     games = table.withColumn("chunk", slices.column()).repartition("chunk").persist()
     try:
         members = (
             games.select("chunk", F.explode(F.array("a", "b")).alias("team")).filter(F.col("team").isNotNull()).distinct()
         )
-        by_chunk = Window.partitionBy("team").orderBy("chunk")
         state = cut_lineage(
-            members.withColumns({"start": F.lit(0.0), "seq": F.row_number().over(by_chunk) - 1}), "starts"
+            members.withColumn("start", F.lit(0.0)), "starts"
         )
-        chunks = state.agg(F.max("seq")).first()[0]
-        chunks = 0 if chunks is None else chunks + 1
-        zero = F.lit(0.0)
+        chunks = games.select(F.count_distinct("chunk")).first()[0]
         for _ in range(chunks):
             ends = (
                 games.groupBy("chunk")
                 .cogroup(state.select("chunk", "team", "start").groupBy("chunk"))
                 .applyInPandas(_chunk_ends, "chunk long, team string, start double, end double, carry double")
             )
-            maps = ends.withColumns(
-                {
-                    "seq": F.row_number().over(by_chunk) - 1,
-                    "gain": F.col("end") - F.col("carry") * F.col("start"),
-                    "zero": zero,
-                }
-            )
-            solved = affine_scan(maps, ["team"], "seq", "carry", "gain", chunks, "zero", "next")
-            state = cut_lineage(
-                solved.select(
-                    "chunk", "team", F.col("next").alias("start"), "seq",
-                    F.abs(F.col("next") - F.col("start")).alias("change"),
-                ),
-                "starts",
-            )
-            if state.agg(F.max("change")).first()[0] < tolerance:
+            solved = _corrected_starts(ends, chunks)
+            moved = Observation()
+            state = cut_lineage(solved.observe(moved, F.max(F.abs(F.col("start") - F.col("old"))).alias("by")), "starts")
+            if moved.get["by"] < tolerance:
                 break
         rated = (
             games.groupBy("chunk")
@@ -179,6 +165,35 @@ def pre_match_ratings(
         games.unpersist()
 
 
+def _corrected_starts(ends: DataFrame, chunks: int) -> DataFrame:
+    """Next guess of every start: chunk, team, start, old.
+
+    A chunk maps a start rating to ``end + carry * (start - old start)``.  A
+    run of forgetful chunks restarts the recurrence, so the scan runs per
+    stretch between them and its products stay far from zero.
+    """
+    by_chunk = Window.partitionBy("team").orderBy("chunk")
+    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    forgot = F.lag("carry", 1, 1.0).over(by_chunk) == 0.0
+    marked = ends.withColumns(
+        {
+            "gain": F.col("end") - F.col("carry") * F.col("start"),
+            "from_last": F.when(forgot, F.lag("end").over(by_chunk)),
+            "stretch": F.coalesce(F.sum(F.when(F.col("carry") == 0.0, 1).otherwise(0)).over(before), F.lit(0)),
+        }
+    )
+    in_stretch = Window.partitionBy("team", "stretch").orderBy("chunk")
+    maps = marked.withColumns(
+        {
+            "seq": F.row_number().over(in_stretch) - 1,
+            "first_start": F.coalesce(F.first("from_last").over(in_stretch), F.lit(0.0)),
+            "carry": F.when(F.col("carry") == 0.0, 1.0).otherwise(F.col("carry")),
+        }
+    )
+    solved = affine_scan(maps, ["team", "stretch"], "seq", "carry", "gain", chunks, "first_start", "next")
+    return solved.select("chunk", "team", F.col("next").alias("start"), F.col("start").alias("old"))
+
+
 def elo_ratings(
     teams: DataFrame, slices: Slices | None = None, chunk_games: int | None = None, half_life: float = RATING_HALF_LIFE_DAYS
 ) -> DataFrame:
