@@ -158,13 +158,17 @@ ps AS (SELECT *, CASE WHEN yes_shares > 0 THEN yes_cost / yes_shares ELSE 0 END
   CASE WHEN no_shares > 0 THEN no_cost / no_shares ELSE 0 END AS avg_cost_no, yes_cost + no_cost AS capital FROM ps0)"""
 FILL_KEYS = ["market", "fill_id", "fill_no", "fill_part"]
 FILL_ORDER = ["fill_ts", "fill_id", "fill_no", "fill_part", "shares"]
-HELD = ["yes_shares", "no_shares", "avg_cost_yes", "avg_cost_no", "capital"]
+HELD = ["yes_shares", "no_shares", "cost_yes", "cost_no", "capital"]
 
 
-@register(REGISTRY, "B17_positions", sql(FILLS, "SELECT * FROM ps", FILL_KEYS, HELD, 9), 9)
+@register(REGISTRY, "B17_positions",
+          sql(FILLS, "SELECT *, avg_cost_yes * yes_shares AS cost_yes, avg_cost_no * no_shares AS cost_no FROM ps",
+              FILL_KEYS, HELD))
 def positions(spark, sf):
     fills = fixtures.fills(spark, sf)
-    return ledgers.positions(fills, FILL_ORDER, slices=plan_slices(fills, "fill_ts", 20_000)).select(*FILL_KEYS, *HELD)
+    held = ledgers.positions(fills, FILL_ORDER, slices=plan_slices(fills, "fill_ts", 20_000))
+    cost = {f"cost_{s}": F.col(f"avg_cost_{s}") * F.col(f"{s}_shares") for s in ("yes", "no")}
+    return held.withColumns(cost).select(*FILL_KEYS, *HELD)
 
 
 @register(REGISTRY, "B18_exposure",
