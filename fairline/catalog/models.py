@@ -1 +1,208 @@
-REGISTRY = {}
+"""Queries for metrics, validation, search, ensembles and predictions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fairline import fixtures
+from fairline.catalog.base import Registry, match_slices, rated_rows, register, sql, stage
+from fairline.catalog.dataset import dataset_rows, feature_rows
+from fairline.catalog.pricing import SCORED
+from fairline.catalog.reports import pairs
+from fairline.catalog.splits import assignment, folds
+from fairline.operators import dataset, draft, features, matchups, reports, validation
+from fairline.operators import modelling as M
+from fairline.session import scratch_path
+from fairline.sources.store import load_model, save_model
+
+REGISTRY: Registry = {}
+
+#: settings that keep the registered fits short on every scale
+QUICK = {"gbt": {"trees": 10, "depth": 3}, "random_forest": {"trees": 10, "depth": 4},
+         "ridge_lr": {"strength": 0.001}, "lasso_lr": {"strength": 0.01}, "elasticnet": {"strength": 0.01}}
+
+
+# --- tables of scores that SQL can check ---------------------------------------------
+
+MODELS = SCORED + """,
+pm AS (SELECT match_id, 'a' AS model, p_model AS p, result AS y, CAST(day(date) % 5 AS INTEGER) AS fold FROM sc
+  UNION ALL SELECT match_id, 'b', p_market, result, CAST(day(date) % 5 AS INTEGER) FROM sc
+  UNION ALL SELECT match_id, 'c', (p_model + p_market) / 2, result, CAST(day(date) % 5 AS INTEGER) FROM sc),
+ms AS (SELECT model, fold, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS log_loss, avg((p - y) * (p - y)) AS brier,
+  avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM pm GROUP BY ALL)"""
+
+
+def probabilities(spark, sf):
+    p = F.explode(F.array(
+        F.struct(F.lit("a").alias("model"), F.col("p_model").alias("p")),
+        F.struct(F.lit("b").alias("model"), F.col("p_market").alias("p")),
+        F.struct(F.lit("c").alias("model"), ((F.col("p_model") + F.col("p_market")) / 2).alias("p")))).alias("m")
+    rows = fixtures.scored(spark, sf).select("match_id", F.col("result").alias("y"), (F.dayofmonth("date") % 5).alias("fold"), p)
+    return rows.select("match_id", "m.model", "m.p", "y", "fold")
+
+
+def fold_scores(spark, sf):
+    return M.binary_metrics(probabilities(spark, sf), ["model", "fold"])
+
+
+@register(REGISTRY, "M5_binary_metrics", sql(MODELS, "SELECT * FROM ms", ["model", "fold"], M.METRICS))
+def metrics(spark, sf):
+    return fold_scores(spark, sf)
+
+
+@register(REGISTRY, "A5_cv_summary",
+          sql(MODELS, "SELECT model, " + ", ".join(f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std" for m in M.METRICS)
+              + " FROM ms GROUP BY model", ["model"], [f"{m}_{x}" for m in M.METRICS for x in ("mean", "std")], 5), 5)
+def cv_summary(spark, sf):
+    return M.summarise_cv(fold_scores(spark, sf))
+
+
+@register(REGISTRY, "A15_ablation_table",
+          sql(MODELS, "SELECT model AS ablation, 3 AS n_features, avg(log_loss) AS mean_logloss, stddev_pop(log_loss) AS std_logloss "
+                      "FROM ms GROUP BY model", ["ablation", "n_features"], ["mean_logloss", "std_logloss"]))
+def ablation_summary(spark, sf):
+    scores = fold_scores(spark, sf).withColumnRenamed("model", "ablation").withColumn("n_features", F.lit(3))
+    return M.ablation_table(scores)
+
+
+@register(REGISTRY, "A6_calibration_bins",
+          sql(MODELS, "SELECT model, CAST(" + " + ".join(
+              f"CASE WHEN p > {i * 0.1!r}::DOUBLE THEN 1 ELSE 0 END" for i in range(1, 10))
+              + " AS INTEGER) AS bin, count(*) AS n, avg(p) AS mean_predicted, avg(y) AS win_share FROM pm GROUP BY ALL",
+              ["model", "bin", "n"], ["mean_predicted", "win_share"]))
+def calibration_bins(spark, sf):
+    return reports.calibration_uniform(probabilities(spark, sf), ["model"])
+
+
+@register(REGISTRY, "M10_ensemble_weights",
+          sql(MODELS, "SELECT model, mean_loss, (1 / mean_loss) / sum(1 / mean_loss) OVER () AS weight FROM ("
+                      "SELECT model, avg(log_loss) AS mean_loss FROM ms GROUP BY model)", ["model"], ["mean_loss", "weight"]))
+def weights(spark, sf):
+    return M.ensemble_weights(fold_scores(spark, sf))
+
+
+@register(REGISTRY, "M11_ensemble",
+          sql(MODELS + """,
+wt AS (SELECT model, (1 / l) / sum(1 / l) OVER () AS w FROM (SELECT model, avg(log_loss) AS l FROM ms GROUP BY model))""",
+              """SELECT match_id, sum(coalesce(w, 1 / 3.0::DOUBLE) * p) / sum(coalesce(w, 1 / 3.0::DOUBLE)) AS p_ensemble,
+  stddev_pop(p) AS model_std FROM pm LEFT JOIN (SELECT * FROM wt WHERE model <> 'c') USING (model) GROUP BY match_id""",
+              ["match_id"], ["p_ensemble", "model_std"]))
+def ensemble(spark, sf):
+    """Model c has no weight and counts as one of three equals."""
+    known = M.ensemble_weights(fold_scores(spark, sf)).filter(F.col("model") != "c")
+    return M.ensemble(probabilities(spark, sf), known, ["match_id"])
+
+
+# --- fits -----------------------------------------------------------------------------
+
+
+def _parts(spark, sf):
+    ds = dataset_rows(spark, sf)
+    num, cat = dataset.model_columns(ds)
+    dev, holdout = validation.split_rows(ds, assignment(spark, sf))
+    return stage(spark, sf, "dev", lambda: dev), stage(spark, sf, "holdout", lambda: holdout), num, cat
+
+
+def _last(spark, sf, n):
+    return validation.last_folds(folds(spark, sf), n)
+
+
+def _cv(spark, sf):
+    def build():
+        dev, _, num, cat = _parts(spark, sf)
+        return M.run_cv(dev, _last(spark, sf, 2), num, cat, ["ridge_lr", "lasso_lr", "gbt"], QUICK)
+
+    return stage(spark, sf, "cv", build)
+
+
+@register(REGISTRY, "M1_M2_M3_M6_cross_validation")
+def cross_validation(spark, sf):
+    return _cv(spark, sf)
+
+
+@register(REGISTRY, "V7_metric_over_time")
+def over_time(spark, sf):
+    return M.metric_over_time(_cv(spark, sf), validation.fold_calendar(folds(spark, sf)))
+
+
+@register(REGISTRY, "M7_random_search")
+def search(spark, sf):
+    dev, _, num, cat = _parts(spark, sf)
+    return M.random_search(dev, _last(spark, sf, 2), num, cat, ["ridge_lr", "elasticnet"], n_iter=2)
+
+
+def _holdout(spark, sf):
+    def build():
+        dev, holdout, num, cat = _parts(spark, sf)
+        return M.holdout_predictions(dev, holdout, num, cat, ["ridge_lr", "random_forest", "logistic"], QUICK)
+
+    return stage(spark, sf, "holdout_p", build)
+
+
+@register(REGISTRY, "M4_M9_holdout_evaluation")
+def holdout_evaluation(spark, sf):
+    return M.evaluate_holdout(_holdout(spark, sf))
+
+
+@register(REGISTRY, "A6_holdout_calibration")
+def holdout_calibration(spark, sf):
+    return reports.calibration_uniform(_holdout(spark, sf), ["model"])
+
+
+@register(REGISTRY, "M12_ablation")
+def ablation(spark, sf):
+    dev, _, num, cat = _parts(spark, sf)
+    sets = {k: M.SETS[k] for k in ("A_elo_only", "Tier1", "Full")}
+    return M.ablation_table(M.run_ablation(dev, _last(spark, sf, 2), num, cat, params=QUICK["ridge_lr"], sets=sets))
+
+
+@register(REGISTRY, "M13_feature_set_comparison")
+def comparison(spark, sf):
+    dev, _, num, cat = _parts(spark, sf)
+    plain = [c for c in num if "ix_" not in c]
+    return M.compare_feature_sets(dev, _last(spark, sf, 2), cat, ("without_interactions", plain), ("with_interactions", num))
+
+
+@register(REGISTRY, "T5_importances")
+def importances(spark, sf):
+    dev, holdout, num, cat = _parts(spark, sf)
+    out = None
+    for name in ("gbt", "lasso_lr"):
+        model = M.fit_model(name, dev, num, cat, QUICK[name])
+        scored = model.transform(M.with_label(holdout, num, cat))
+        part = M.importance_table(model, scored, num).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register(REGISTRY, "S9_M14_saved_model_matchups")
+def saved_model(spark, sf):
+    """A model is saved, found again by preference and used on pairs of teams."""
+    dev, _, num, cat = _parts(spark, sf)
+    root = scratch_path(spark, "models")
+    for name, params in (("ridge_lr", QUICK["ridge_lr"]), ("gbt", QUICK["gbt"])):
+        save_model(M.fit_model(name, dev, num, cat, params), root, name)
+    _, model = load_model(spark, root)
+    rows = M.with_label(matchups.matchup_rows(pairs(spark, sf), feature_rows(spark, sf)), num, cat)
+    return matchups.predict_matchups(rows, model, ["pair"])
+
+
+@register(REGISTRY, "M15_draft_model")
+def draft_model(spark, sf):
+    """Holdout metrics of the same model with and without the draft groups."""
+    slices = match_slices(spark, sf)
+
+    def build():
+        rows = draft.draft_features(rated_rows(spark, sf), slices)
+        return dataset.mirror_dataset(features.build_features(rows, slices))
+
+    ds = stage(spark, sf, "draft_dataset", build)
+    num, cat = dataset.model_columns(ds)
+    dev, holdout = validation.split_rows(ds, assignment(spark, sf))
+    plain = [c for c in num if not any(w in c for w in ("champ_", "series_", "has_first_pick"))]
+    out = None
+    for label, cols in (("pre_draft", plain), ("draft", num)):
+        p = M.holdout_predictions(dev, holdout, cols, cat, ["ridge_lr"], QUICK)
+        part = M.binary_metrics(p).withColumns({"model": F.lit(label), "n_features": F.lit(len(cols))})
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -102,6 +102,7 @@ def _chunk_ends(key, games: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
             "start": [starts[t] for t in teams],
             "end": [ends[t][0] for t in teams],
             "carry": [ends[t][1] if ends[t][1] >= _MIN_CARRY else 0.0 for t in teams],
+            "base": state["base"].tolist(),
         }
     )
 
@@ -117,56 +118,61 @@ def _chunk_games(key, games: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"gameid": ordered["gameid"], "ra": a, "rb": b})
 
 
-def pre_match_ratings(
-    teams: DataFrame, chunk_games: int | None = None, tolerance: float = 1e-10
-) -> DataFrame:
-    """One row per game: gameid, a, b, rated, ra, rb (ratings before the game).
+def rate_games(
+    teams: DataFrame, initial: DataFrame | None = None, chunk_games: int | None = None, tolerance: float = 1e-10
+) -> tuple[DataFrame, DataFrame]:
+    """(games, ratings): ratings before every game, and every team's rating after all.
 
-    ``chunk_games`` bounds the games one task folds per round; by default the
-    games are spread over the cluster's task slots.
+    games: gameid, a, b, rated, ra, rb.  ratings: team, rating.  ``initial``
+    (team, rating) continues an earlier run; other teams start at the common
+    value.  ``chunk_games`` bounds the games one task folds per round; by
+    default the games are spread over the cluster's task slots.
     """
     spark = teams.sparkSession
     table = cut_lineage(_game_table(teams), "games")
-    n = table.count()
     if chunk_games is None:
         slots = max(8, spark.sparkContext.defaultParallelism)
-        chunk_games = min(500_000, max(2_500, n // slots))
+        chunk_games = min(500_000, max(2_500, table.count() // slots))
     slices = plan_slices(table, "date", chunk_games + chunk_games // 4)
     games = table.withColumn("chunk", slices.column()).repartition("chunk").persist()
+    fold = lambda out, schema, state: (
+        games.groupBy("chunk")
+        .cogroup(state.select("chunk", "team", "start", "base").groupBy("chunk"))
+        .applyInPandas(out, schema)
+    )
+    ends_schema = "chunk long, team string, start double, end double, carry double, base double"
     try:
-        members = (
-            games.select("chunk", F.explode(F.array("a", "b")).alias("team")).filter(F.col("team").isNotNull()).distinct()
-        )
-        state = cut_lineage(
-            members.withColumn("start", F.lit(0.0)), "starts"
-        )
+        members = games.select("chunk", F.explode(F.array("a", "b")).alias("team")).filter(F.col("team").isNotNull()).distinct()
+        if initial is None:
+            members = members.withColumn("base", F.lit(0.0))
+        else:
+            dev = initial.select("team", (F.col("rating") - RATING_START).alias("base"))
+            members = members.join(dev, "team", "left").fillna({"base": 0.0})
+        state = cut_lineage(members.withColumn("start", F.col("base")), "starts")
         chunks = games.select(F.count_distinct("chunk")).first()[0]
         for _ in range(chunks):
-            ends = (
-                games.groupBy("chunk")
-                .cogroup(state.select("chunk", "team", "start").groupBy("chunk"))
-                .applyInPandas(_chunk_ends, "chunk long, team string, start double, end double, carry double")
-            )
-            solved = _corrected_starts(ends, chunks)
+            solved = _corrected_starts(fold(_chunk_ends, ends_schema, state), chunks)
             moved = Observation()
             state = cut_lineage(solved.observe(moved, F.max(F.abs(F.col("start") - F.col("old"))).alias("by")), "starts")
             if moved.get["by"] < tolerance:
                 break
-        rated = (
-            games.groupBy("chunk")
-            .cogroup(state.select("chunk", "team", "start").groupBy("chunk"))
-            .applyInPandas(_chunk_games, f"gameid {dict(table.dtypes)['gameid']}, ra double, rb double")
-        )
-        out = table.select("gameid", "a", "b", "rated").join(rated, "gameid")
-        return cut_lineage(
+        per_game = fold(_chunk_games, f"gameid {dict(table.dtypes)['gameid']}, ra double, rb double", state)
+        out = table.select("gameid", "a", "b", "rated").join(per_game, "gameid")
+        out = cut_lineage(
             out.withColumns({"ra": F.col("ra") + RATING_START, "rb": F.col("rb") + RATING_START}), "ratings"
         )
+        last = fold(_chunk_ends, ends_schema, state).groupBy("team").agg(
+            (F.max_by("end", "chunk") + RATING_START).alias("rating")
+        )
     finally:
         games.unpersist()
+    if initial is not None:
+        last = last.unionByName(initial.select("team", "rating").join(last, "team", "left_anti"))
+    return out, last
 
 
 def _corrected_starts(ends: DataFrame, chunks: int) -> DataFrame:
-    """Next guess of every start: chunk, team, start, old.
+    """Next guess of every start: chunk, team, start, base, old.
 
     A chunk maps a start rating to ``end + carry * (start - old start)``.  A
     run of forgetful chunks restarts the recurrence, so the scan runs per
@@ -186,12 +192,12 @@ def _corrected_starts(ends: DataFrame, chunks: int) -> DataFrame:
     maps = marked.withColumns(
         {
             "seq": F.row_number().over(in_stretch) - 1,
-            "first_start": F.coalesce(F.first("from_last").over(in_stretch), F.lit(0.0)),
+            "first_start": F.coalesce(F.first("from_last").over(in_stretch), F.col("base")),
             "carry": F.when(F.col("carry") == 0.0, 1.0).otherwise(F.col("carry")),
         }
     )
     solved = affine_scan(maps, ["team", "stretch"], "seq", "carry", "gain", chunks, "first_start", "next")
-    return solved.select("chunk", "team", F.col("next").alias("start"), F.col("start").alias("old"))
+    return solved.select("chunk", "team", F.col("next").alias("start"), "base", F.col("start").alias("old"))
 
 
 def elo_ratings(
@@ -202,7 +208,7 @@ def elo_ratings(
     ``elo_overperf`` uses the result and is only meant for rolling features.
     """
     slices = slices or plan_slices(teams)
-    games = pre_match_ratings(teams, chunk_games)
+    games, _ = rate_games(teams, chunk_games=chunk_games)
     mine = F.when(F.col("teamid").eqNullSafe(F.col("a")), F.col("ra")).otherwise(F.col("rb"))
     other = F.when(F.col("teamid").eqNullSafe(F.col("a")), F.col("rb")).otherwise(F.col("ra"))
     rows = (

@@ -24,7 +24,7 @@ from fairline.plans.slices import Slices
 
 @dataclass(frozen=True)
 class Agg:
-    """One prefix aggregate: ``kind`` is sum, count, max or last."""
+    """One prefix aggregate: ``kind`` is sum, count, max, first or last."""
 
     name: str
     kind: str
@@ -41,6 +41,8 @@ class Agg:
             return F.count(v).over(window)
         if self.kind == "max":
             return F.max(v).over(window)
+        if self.kind == "first":
+            return F.first(v, ignorenulls=True).over(window)
         return F.last(v, ignorenulls=True).over(window)
 
     def partial(self, order: Sequence[str]) -> Column:
@@ -51,7 +53,8 @@ class Agg:
             return F.count(v)
         if self.kind == "max":
             return F.max(v)
-        return F.max_by(v, F.when(v.isNotNull(), F.struct(*order)))
+        pick = F.min_by if self.kind == "first" else F.max_by
+        return pick(v, F.when(v.isNotNull(), F.struct(*order)))
 
     def carry(self, column: str, window) -> Column:
         c = F.col(column)
@@ -59,6 +62,8 @@ class Agg:
             return F.sum(c).over(window)
         if self.kind == "max":
             return F.max(c).over(window)
+        if self.kind == "first":
+            return F.first(c, ignorenulls=True).over(window)
         return F.last(c, ignorenulls=True).over(window)
 
     def merge(self, inside: str, carried: str) -> Column:
@@ -67,7 +72,7 @@ class Agg:
             return a + F.coalesce(b, F.lit(0))
         if self.kind == "max":
             return F.greatest(a, b)
-        return F.coalesce(a, b)
+        return F.coalesce(b, a) if self.kind == "first" else F.coalesce(a, b)
 
 
 def anonymous_key(key: str, *identity: str) -> Column:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from fairline.config import NUMERIC_COLUMNS, RENAMES
 
+#: ``.../2019_name.csv`` or, for a folder of part files, ``.../2019_name/part-0``
+_YEAR = r"/(\d{4})_[^/]*(?:/part-[^/]*)?$"
+
 
 def scan_years(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Read yearly CSV files; ``year`` comes from the file name.
@@ -30,7 +33,7 @@ def scan_years(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     for path in found:
         year = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
         year = year.withColumn(
-            "year", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1).cast("int")
+            "year", F.regexp_extract(F.col("_metadata.file_path"), _YEAR, 1).cast("int")
         )
         log = year if log is None else log.unionByName(year, allowMissingColumns=True)
     return log
