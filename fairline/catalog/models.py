@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fairline import fixtures
+from fairline.aliases import TEAM_ALIASES
 from fairline.catalog.base import Registry, match_slices, rated_rows, register, sql, stage
 from fairline.catalog.dataset import dataset_rows, feature_rows
+from fairline.catalog.markets import parsed
 from fairline.catalog.pricing import SCORED
 from fairline.catalog.reports import pairs
 from fairline.catalog.splits import assignment, folds
@@ -206,3 +208,13 @@ def draft_model(spark, sf):
         part = M.binary_metrics(p).withColumns({"model": F.lit(label), "n_features": F.lit(len(cols))})
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@register(REGISTRY, "M14_B15_market_backtest")
+def market_backtest(spark, sf):
+    """Settled markets to bets: names, as-of rows, model, rating price, ledger."""
+    dev, _, num, cat = _parts(spark, sf)
+    model = M.fit_model("ridge_lr", dev, num, cat, QUICK["ridge_lr"])
+    found = matchups.backtest_rows(parsed(spark, sf), feature_rows(spark, sf), TEAM_ALIASES)
+    bets = matchups.backtest(M.with_label(found, num, cat), model)
+    return bets.select("match_id", "p_model", "p_market", "result", "bet_direction", "stake", "directional_pnl", "cumulative_pnl")

@@ -25,27 +25,38 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _league(kind: Column) -> Column:
-    names = {"click": "LCK", "view": "LPL", "purchase": "LEC", "signup": "VCS"}
+#: event type -> league of the game; any other type is OTH
+LEAGUES = {"click": "LCK", "view": "LPL", "purchase": "LEC", "signup": "VCS"}
+
+
+def _league_code(kind: Column) -> Column:
     out = None
-    for event_type, league in names.items():
-        out = F.when(kind == event_type, league) if out is None else out.when(kind == event_type, league)
-    return out.otherwise("OTH")
+    for code, event_type in enumerate(LEAGUES):
+        hit = kind == event_type
+        out = F.when(hit, code) if out is None else out.when(hit, code)
+    return out.otherwise(len(LEAGUES))
 
 
 def games(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per game with both sides as structs ``b`` and ``r``."""
-    side = F.struct("user_id", "event_type", "value", "k", "ts")
-    paired = (
-        events(spark, sf)
-        .groupBy("gameid")
-        .agg(
-            F.min("ts").alias("date"),
-            F.max(F.when(F.col("red") == 0, side)).alias("b"),
-            F.max(F.when(F.col("red") == 1, side)).alias("r"),
-        )
+    """One row per game with both sides as structs ``b`` and ``r``.
+
+    Only fixed-width values are aggregated, so the aggregate hashes and never
+    sorts its input.
+    """
+    e = events(spark, sf).withColumns({"code": _league_code(F.col("event_type")), "us": F.unix_micros("ts")})
+    sides = [
+        F.max(F.when(F.col("red") == red, F.col(c))).alias(f"{s}_{c}")
+        for red, s in ((0, "b"), (1, "r"))
+        for c in ("user_id", "value", "k")
+    ]
+    paired = e.groupBy("gameid").agg(
+        F.min("us").alias("us"), F.max(F.when(F.col("red") == 0, F.col("code"))).alias("code"), *sides
+    )
+    names = F.array(*[F.lit(x) for x in (*LEAGUES.values(), "OTH")])
+    side = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("user_id", "value", "k")])
+    return paired.filter((F.col("b_user_id") % 30) != (F.col("r_user_id") % 30)).select(
+        "gameid", F.timestamp_micros("us").alias("date"), names[F.col("code")].alias("league"), side("b").alias("b"), side("r").alias("r")
     )
-    return paired.filter((F.col("b.user_id") % 30) != (F.col("r.user_id") % 30))
 
 
 def match_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +67,7 @@ def match_rows(spark: SparkSession, sf: str) -> DataFrame:
         "date",
         F.year("date").alias("year"),
         F.col("b.k").alias("bk"),
-        _league(F.col("b.event_type")).alias("league"),
+        "league",
         F.when(day <= 15, "Spring").otherwise("Summer").alias("split"),
         F.concat(F.lit("P"), F.floor((day - 1) / 7).cast("string")).alias("patch"),
         F.when(day >= 25, 1).otherwise(0).alias("playoffs"),
@@ -132,7 +143,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return games(spark, sf).select(
         F.col("gameid").alias("match_id"),
         "date",
-        _league(F.col("b.event_type")).alias("league"),
+        "league",
         p_model.alias("p_model"),
         p_market.alias("p_market"),
         F.when(F.col("b.value") >= F.col("r.value"), 1).otherwise(0).alias("result"),
@@ -148,7 +159,7 @@ def market_events(spark: SparkSession, sf: str) -> DataFrame:
         "gameid",
         "date",
         F.col("b.value").alias("value"),
-        _league(F.col("b.event_type")).alias("league"),
+        "league",
         F.concat(F.lit("T"), (F.col("b.user_id") % 30).cast("string")).alias("t1"),
         F.concat(F.lit("T"), (F.col("r.user_id") % 30).cast("string")).alias("t2"),
         (F.col("b.value") >= F.col("r.value")).alias("won"),

@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline.config import RATING_HALF_LIFE_DAYS, RATING_K, RATING_SCALE, RATING_START
@@ -152,9 +152,8 @@ def rate_games(
         chunks = games.select(F.count_distinct("chunk")).first()[0]
         for _ in range(chunks):
             solved = _corrected_starts(fold(_chunk_ends, ends_schema, state), chunks)
-            moved = Observation()
-            state = cut_lineage(solved.observe(moved, F.max(F.abs(F.col("start") - F.col("old"))).alias("by")), "starts")
-            if moved.get["by"] < tolerance:
+            state = cut_lineage(solved, "starts")
+            if state.agg(F.max(F.abs(F.col("start") - F.col("old")))).first()[0] < tolerance:
                 break
         per_game = fold(_chunk_games, f"gameid {dict(table.dtypes)['gameid']}, ra double, rb double", state)
         out = table.select("gameid", "a", "b", "rated").join(per_game, "gameid")

@@ -46,7 +46,7 @@ def plan_slices(df: DataFrame, ts: str = "date", rows: int = SLICE_ROWS) -> Slic
 
     One aggregate over the time column finds count and span.  When the table is
     small a single slice is used.  Otherwise the fullest slice is measured and
-    the width halved until it fits (rows of one instant cannot be split).
+    the width shrunk until it fits (rows of one instant cannot be split).
     """
     micros = F.unix_micros(F.col(ts))
     n, lo, hi = df.agg(F.count(F.lit(1)), F.min(micros), F.max(micros)).first()
@@ -58,4 +58,4 @@ def plan_slices(df: DataFrame, ts: str = "date", rows: int = SLICE_ROWS) -> Slic
         fullest = df.groupBy(cut.column().alias("s")).count().agg(F.max("count")).first()[0]
         if fullest <= rows or width <= 1:
             return cut
-        width = max(1, width // 2)
+        width = max(1, min(width - 1, int(width * 0.95 * rows / fullest)))

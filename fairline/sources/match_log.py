@@ -64,13 +64,18 @@ def split_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pair_opponents(teams: DataFrame) -> DataFrame:
-    """Keep games with exactly two team rows and add the other row's team."""
+    """Keep games with exactly two team rows and add the other row's team.
+
+    A junk id may sit on very many rows.  Three rows are enough to know that a
+    game is not a pair, and a row-number limit is applied before the exchange
+    too, so such an id sends at most three rows per input partition.
+    """
     game = Window.partitionBy("gameid")
     ordered = game.orderBy("side")
-    rows = F.count(F.lit(1)).over(game)
-    first = F.row_number().over(ordered) == 1
-    other = F.when(first, F.lead("teamid").over(ordered)).otherwise(F.lag("teamid").over(ordered))
-    return teams.withColumns({"_rows": rows, "opp_teamid": other}).filter(F.col("_rows") == 2).drop("_rows")
+    few = teams.filter(F.col("gameid").isNotNull()).withColumn("_rank", F.row_number().over(ordered)).filter(F.col("_rank") <= 3)
+    other = F.when(F.col("_rank") == 1, F.lead("teamid").over(ordered)).otherwise(F.lag("teamid").over(ordered))
+    paired = few.withColumns({"_rows": F.count(F.lit(1)).over(game), "opp_teamid": other})
+    return paired.filter(F.col("_rows") == 2).drop("_rows", "_rank")
 
 
 def known_results(teams: DataFrame) -> DataFrame:
