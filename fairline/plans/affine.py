@@ -38,20 +38,20 @@ def affine_scan(
     if longest <= segment:
         return _scan_inside(df, keys, seq, a, b, start, out)
 
-    cut = df.withColumn("_seg", F.floor(F.col(seq) / segment))
-    upto = Window.partitionBy(*keys, "_seg").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    seg = f"{seq}_seg"  # a new name per level, as the next level numbers segments by it
+    cut = df.withColumn(seg, F.floor(F.col(seq) / segment))
+    upto = Window.partitionBy(*keys, seg).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     scaled = cut.withColumn("_prod", F.product(a).over(upto))
-    maps = scaled.groupBy(*keys, "_seg").agg(
-        F.max_by("_prod", seq).alias("_seg_a"),
-        (F.max_by("_prod", seq) * F.sum(F.col(b) / F.col("_prod"))).alias("_seg_b"),
-        F.max(start).alias("_seg_start"),
+    maps = scaled.groupBy(*keys, seg).agg(
+        F.max_by("_prod", seq).alias(f"{seg}_a"),
+        (F.max_by("_prod", seq) * F.sum(F.col(b) / F.col("_prod"))).alias(f"{seg}_b"),
+        F.max(start).alias(f"{seg}_start"),
     )
     solved = affine_scan(
-        maps, keys, "_seg", "_seg_a", "_seg_b", (longest + segment - 1) // segment,
-        "_seg_start", "_seg_in", segment,
-    ).select(*keys, "_seg", "_seg_in")
-    joined = cut.join(solved, keys + ["_seg"])
-    return _scan_inside(joined, keys + ["_seg"], seq, a, b, "_seg_in", out).drop("_seg", "_seg_in")
+        maps, keys, seg, f"{seg}_a", f"{seg}_b", (longest + segment - 1) // segment, f"{seg}_start", f"{seg}_in", segment
+    ).select(*keys, seg, f"{seg}_in")
+    joined = cut.join(solved, keys + [seg])
+    return _scan_inside(joined, keys + [seg], seq, a, b, f"{seg}_in", out).drop(seg, f"{seg}_in")
 
 
 def _scan_inside(df, parts, seq, a, b, start, out):

@@ -130,6 +130,7 @@ def cut_runs(
     keys = list(keys)
     if slices.single:
         return df, keys
+    run_rows = max(run_rows, halo)  # a run must hold all rows the next one looks back at
     numbered = with_history(df, keys, order, [Agg("_seq", "count")], slices)
     run = F.floor(F.col("_seq") / run_rows)
     own = F.struct(run.alias("run"), F.lit(False).alias("halo"))
