@@ -112,10 +112,10 @@ RECENT = (form_columns, early_game_columns, objective_columns, style_columns, re
 
 
 def recent_features(
-    df: DataFrame, slices: Slices, groups=RECENT, run_rows: int = RUN_ROWS
+    df: DataFrame, slices: Slices, groups=RECENT, run_rows: int = RUN_ROWS, source: DataFrame | None = None
 ) -> DataFrame:
     """All features that look back a bounded number of games, in one pass."""
-    rows, parts = cut_runs(df, TEAM, ORDER, slices, C.EWMA_ROWS, run_rows)
+    rows, parts = cut_runs(df, TEAM, ORDER, slices, C.EWMA_ROWS, run_rows, source)
     frames = Frames(parts)
     columns: dict[str, Column] = {}
     for group in groups:
@@ -136,7 +136,7 @@ def prior_cumsum(df: DataFrame, keys, order, sums: dict[str, Column], slices: Sl
     return seen.withColumns(gap).drop(*[f"_gap_{n}" for n in sums])
 
 
-def career_features(df: DataFrame, slices: Slices) -> DataFrame:
+def career_features(df: DataFrame, slices: Slices, source: DataFrame | None = None) -> DataFrame:
     """Games played and conversion of leads, over a team's whole past."""
     k = C.SHRINK_CONVERSION
     gold, won = F.col("golddiffat15"), F.col("result")
@@ -149,7 +149,7 @@ def career_features(df: DataFrame, slices: Slices) -> DataFrame:
     aggs.append(Agg("_gap", "last", gold.isNull()))
     aggs.append(Agg("_gold_win", "sum", gold * won))
     aggs.append(Agg("_gold_loss", "sum", gold * (1 - won)))
-    seen = with_history(df, TEAM, ORDER, aggs, slices)
+    seen = with_history(df, TEAM, ORDER, aggs, slices, source)
     losses = F.col("n_games_played") - F.col("_wins")
     known = ~F.coalesce(F.col("_gap"), F.lit(True))
 
@@ -164,14 +164,14 @@ def career_features(df: DataFrame, slices: Slices) -> DataFrame:
     return seen.withColumns(out).drop(*[a.name for a in aggs if a.name.startswith("_")])
 
 
-def side_features(df: DataFrame, slices: Slices) -> DataFrame:
-    """Win rate on this side so far, and Blue's win rate on the patch so far."""
+def side_history(df: DataFrame, slices: Slices, source: DataFrame | None = None) -> DataFrame:
+    """Win rate on this side so far; the other side's column stays neutral."""
     mine = with_history(
-        df, TEAM + ["side"], ORDER, [Agg("_n", "count"), Agg("_w", "sum", F.col("result"))], slices
+        df, TEAM + ["side"], ORDER, [Agg("_n", "count"), Agg("_w", "sum", F.col("result"))], slices, source
     )
     rate = F.coalesce(F.try_divide(F.col("_w"), F.col("_n")), F.lit(0.5))
     blue = F.col("side") == "Blue"
-    mine = mine.withColumns(
+    return mine.withColumns(
         {
             "is_blue": blue.cast("int"),
             "blue_wr_hist": F.when(blue, rate).otherwise(0.5),
@@ -179,51 +179,49 @@ def side_features(df: DataFrame, slices: Slices) -> DataFrame:
             "same_side_wr_hist": rate,
         }
     ).drop("_n", "_w")
-    return patch_blue_rate(mine, slices).withColumn(
-        "side_wr_vs_patch", F.col("same_side_wr_hist") - F.col("patch_blue_wr")
-    )
 
 
-def patch_blue_rate(df: DataFrame, slices: Slices) -> DataFrame:
+def patch_blue_rate(df: DataFrame, slices: Slices, source: DataFrame | None = None) -> DataFrame:
     """Share of the patch's earlier games that Blue won, on both rows of a game.
 
-    Only Blue rows count.  The rate is read at the game's Blue row, where the
-    game itself is not yet included, and handed to both rows.
+    A patch has few values and very many games, so only its Blue rows and four
+    columns go through the patch's order; the rate then joins by game, the same
+    exchange the mirrored dataset needs.
     """
-    blue = F.col("side") == "Blue"
-    seen = with_history(
-        df,
-        ["patch_key"],
-        ["date", "gameid", "side"],
-        [Agg("_pn", "sum", blue.cast("long")), Agg("_pw", "sum", F.when(blue, F.col("result")).otherwise(0))],
-        slices,
-    )
-    rate = F.coalesce(F.try_divide(F.col("_pw"), F.col("_pn")), F.lit(0.5))
-    own = F.max(F.when(blue, rate)).over(Window.partitionBy("gameid"))
-    known = F.col("patch").isNotNull()
-    return seen.withColumn("patch_blue_wr", F.coalesce(F.when(known, own), F.lit(0.5))).drop("_pn", "_pw")
+    blue = (source or df).filter((F.col("side") == "Blue") & F.col("patch").isNotNull()).select("gameid", "date", "patch", "result")
+    seen = with_history(blue, ["patch"], ORDER, [Agg("_n", "count"), Agg("_w", "sum", F.col("result"))], slices)
+    rate = seen.select("gameid", F.coalesce(F.try_divide(F.col("_w"), F.col("_n")), F.lit(0.5)).alias("patch_blue_wr"))
+    joined = df.join(rate, "gameid", "left").fillna({"patch_blue_wr": 0.5})
+    return joined.withColumn("side_wr_vs_patch", F.col("same_side_wr_hist") - F.col("patch_blue_wr"))
+
 
+def side_features(df: DataFrame, slices: Slices, source: DataFrame | None = None) -> DataFrame:
+    """Side history next to Blue's record on the patch."""
+    return patch_blue_rate(side_history(df, slices, source), slices, source)
 
-def patch_features(df: DataFrame, slices: Slices) -> DataFrame:
+
+def patch_features(df: DataFrame, slices: Slices, source: DataFrame | None = None) -> DataFrame:
     """Win rate on the current patch, shrunk to the recent win rate."""
     seen = with_history(
-        df, TEAM + ["patch_key"], ORDER, [Agg("_n", "count"), Agg("_w", "sum", F.col("result"))], slices
+        df, TEAM + ["patch_key"], ORDER, [Agg("_n", "count"), Agg("_w", "sum", F.col("result"))], slices, source
     )
     rate = shrunk_rate("_n", "_w", C.SHRINK_PATCH, F.col("wr_L10"))
     known = F.col("patch").isNotNull() & F.col("teamid").isNotNull()
     return seen.withColumn("patch_wr_shrunk", F.when(known, rate).otherwise(0.5)).drop("_n", "_w")
 
 
-def h2h_features(df: DataFrame, slices: Slices) -> DataFrame:
+def h2h_features(df: DataFrame, slices: Slices, source: DataFrame | None = None) -> DataFrame:
     """Record against this opponent so far, shrunk to the recent win rate."""
     seen = with_history(
-        df, TEAM + ["opp_key"], ORDER, [Agg("h2h_n_games", "count"), Agg("_w", "sum", F.col("result"))], slices
+        df, TEAM + ["opp_key"], ORDER, [Agg("h2h_n_games", "count"), Agg("_w", "sum", F.col("result"))], slices, source
     )
     rate = shrunk_rate("h2h_n_games", "_w", C.SHRINK_H2H, F.col("wr_L10"))
     return seen.withColumn("h2h_wr", rate).drop("_w")
 
 
-def prior_count_in_days(df: DataFrame, days: dict[str, int], slices: Slices) -> DataFrame:
+def prior_count_in_days(
+    df: DataFrame, days: dict[str, int], slices: Slices, source: DataFrame | None = None
+) -> DataFrame:
     """Earlier games of the team no older than N days, for each name in ``days``.
 
     Counted as (earlier games) minus (games older than N days).  With many
@@ -250,7 +248,7 @@ def prior_count_in_days(df: DataFrame, days: dict[str, int], slices: Slices) ->
             for name, n in days.items()
         ],
     )
-    marks = df.select("gameid", "team_key", F.explode(spots).alias("m")).select("gameid", "team_key", "m.*")
+    marks = (source or df).select("gameid", "team_key", F.explode(spots).alias("m")).select("gameid", "team_key", "m.*")
     # a probe stands before the games of its own instant, which still count as recent
     seen = with_history(
         marks, TEAM, ["t", "real", "gameid"], [Agg("c", "sum", F.col("real").cast("long"))], slices.rename("t")
@@ -269,9 +267,9 @@ def league_tier(league: str = "league") -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(league)), F.lit(C.DEFAULT_TIER))
 
 
-def schedule_features(df: DataFrame, slices: Slices) -> DataFrame:
+def schedule_features(df: DataFrame, slices: Slices, source: DataFrame | None = None) -> DataFrame:
     """Workload and context known before the game."""
-    out = prior_count_in_days(df, {"matches_last_7d": 7, "matches_last_14d": 14}, slices)
+    out = prior_count_in_days(df, {"matches_last_7d": 7, "matches_last_14d": 14}, slices, source)
     return out.withColumns(context_columns(df))
 
 
@@ -327,16 +325,27 @@ def build_features(
     interactions: bool = True,
     run_rows: int = RUN_ROWS,
 ) -> DataFrame:
-    """Team rows with ratings in, team rows with all rolling features out."""
+    """Team rows with ratings in, team rows with all rolling features out.
+
+    All groups keyed by the team (and side, patch or opponent within it) come
+    first and share one exchange; what joins by game comes last and shares the
+    exchange the mirrored dataset needs.  Slice totals are taken from ``teams``
+    itself, so this should be a stored table.
+    """
     slices = slices or plan_slices(teams)
     groups = [g for g in RECENT if style or g is not style_columns]
-    df = recent_features(with_keys(teams), slices, groups, run_rows)
-    df = career_features(df, slices)
-    df = schedule_features(df, slices)
-    df = side_features(df, slices)
+    base = with_keys(teams)
+    df = base if slices.single else base.withColumn("_slice", slices.column())
+    df = recent_features(df, slices, groups, run_rows, base)
+    df = career_features(df, slices, base)
+    df = side_history(df, slices, base)
     if patch:
-        df = patch_features(df, slices)
-    df = h2h_features(df, slices)
+        df = patch_features(df, slices, base)
+    df = h2h_features(df, slices, base)
+    if slices.single:
+        df = patch_blue_rate(schedule_features(df, slices, base), slices, base)
+    else:
+        df = schedule_features(patch_blue_rate(df, slices, base), slices, base)
     if interactions:
         df = interaction_features(df)
     return drop_same_match(df)

@@ -8,30 +8,24 @@ from pyspark.sql import functions as F
 from fairline import config as C
 from fairline.plans.history import Agg, with_history
 from fairline.plans.slices import Slices, plan_slices
+from fairline.session import cut_lineage
 
 DAY_US = 86_400_000_000
 
 
-def game_order(df: DataFrame, slices: Slices | None = None) -> DataFrame:
-    """Unique games with their position in time, numbered slice by slice."""
-    games = df.groupBy("gameid").agg(F.min("date").alias("date"))
-    slices = slices or plan_slices(df)
-    return with_history(games, [], ["date", "gameid"], [Agg("position", "count")], slices)
-
-
 def temporal_split(df: DataFrame, frac: float = C.HOLDOUT_FRACTION, slices: Slices | None = None) -> DataFrame:
     """Game assignment (gameid, date, part): the last ``frac`` of games is holdout.
 
-    Only the game at the cutoff position is looked up; every other game is
-    compared with it, so nothing is sorted as a whole.
+    The games are written as a narrow table first, which count, order and
+    assignment then share.  Only the game at the cutoff position is looked up;
+    every other game is compared with it, so nothing is sorted as a whole.
     """
-    ordered = game_order(df, slices)
-    n = ordered.select(F.count(F.lit(1))).scalar()
+    games = cut_lineage(df.groupBy("gameid").agg(F.min("date").alias("date")), "games")
+    slices = slices or plan_slices(games)
+    ordered = with_history(games, [], ["date", "gameid"], [Agg("position", "count")], slices)
+    n = games.select(F.count(F.lit(1))).scalar()
     at = F.struct("date", "gameid")
-    cut = (
-        ordered.select(F.max(F.when(F.col("position") == F.floor(n * (1.0 - F.lit(frac))), at))).scalar()
-    )
-    games = df.groupBy("gameid").agg(F.min("date").alias("date"))
+    cut = ordered.filter(F.col("position") == F.floor(n * (1.0 - F.lit(frac)))).select(F.max(at)).scalar()
     return games.withColumn("part", F.when(at < cut, "dev").otherwise("holdout"))
 
 
@@ -58,10 +52,11 @@ def rolling_folds(
 
     Fold f validates on [first + T + S*f, + V) and trains on the T days before.
     Which folds a row belongs to follows from its date alone, so rows are
-    exploded into their folds without a range join.
+    exploded into their folds without a range join.  The three columns needed
+    are written once and shared by the span, the counts and the result.
     """
-    rows = df.select("gameid", "side", "date")
-    span = df.agg(F.min(F.unix_micros("date")).alias("lo"), F.max(F.unix_micros("date")).alias("hi"))
+    rows = cut_lineage(df.select("gameid", "side", "date"), "fold-rows")
+    span = rows.agg(F.min(F.unix_micros("date")).alias("lo"), F.max(F.unix_micros("date")).alias("hi"))
     first, last = span.select("lo").scalar(), span.select("hi").scalar()
     train, val, stride = train_days * DAY_US, val_days * DAY_US, stride_days * DAY_US
     t = F.unix_micros("date") - first

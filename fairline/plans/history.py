@@ -86,16 +86,26 @@ def with_history(
     order: Sequence[str],
     aggs: Sequence[Agg],
     slices: Slices,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Add every aggregate in ``aggs`` over the strictly earlier rows of the key."""
+    """Add every aggregate in ``aggs`` over the strictly earlier rows of the key.
+
+    ``source`` may name a cheaper frame with the same rows to take the slice
+    totals from: the stored table ``df`` was derived from.  Then a chain of
+    calls stays a chain, instead of evaluating all earlier steps once more per
+    call.  A ``_slice`` column that ``df`` already has is kept, so that calls
+    whose keys start alike share one exchange.
+    """
     keys, order = list(keys), list(order)
     if slices.single:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({a.name: a.over(w) for a in aggs})
 
-    sliced = df.withColumn("_slice", slices.column())
+    keep = "_slice" in df.columns
+    sliced = df if keep else df.withColumn("_slice", slices.column())
     part = [F.col(k) for k in keys] + [F.col("_slice")]
-    totals = sliced.groupBy(*part).agg(*[a.partial(order).alias(f"_p_{a.name}") for a in aggs])
+    base = sliced if source is None else source.withColumn("_slice", slices.column())
+    totals = base.groupBy(*part).agg(*[a.partial(order).alias(f"_p_{a.name}") for a in aggs])
     across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*part, *[a.carry(f"_p_{a.name}", across).alias(f"_c_{a.name}") for a in aggs])
     inside = (
@@ -103,9 +113,8 @@ def with_history(
     )
     rows = sliced.withColumns({a.name: a.over(inside) for a in aggs})
     joined = rows.join(carried, keys + ["_slice"], "left")
-    return joined.withColumns({a.name: a.merge(a.name, f"_c_{a.name}") for a in aggs}).drop(
-        "_slice", *[f"_c_{a.name}" for a in aggs]
-    )
+    merged = joined.withColumns({a.name: a.merge(a.name, f"_c_{a.name}") for a in aggs})
+    return merged.drop(*([] if keep else ["_slice"]), *[f"_c_{a.name}" for a in aggs])
 
 
 #: rows a run may hold, and rows copied into the next run
@@ -119,6 +128,7 @@ def cut_runs(
     slices: Slices,
     halo: int,
     run_rows: int = RUN_ROWS,
+    source: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Prepare ``df`` for windows that look back at most ``halo`` rows.
 
@@ -131,7 +141,7 @@ def cut_runs(
     if slices.single:
         return df, keys
     run_rows = max(run_rows, halo)  # a run must hold all rows the next one looks back at
-    numbered = with_history(df, keys, order, [Agg("_seq", "count")], slices)
+    numbered = with_history(df, keys, order, [Agg("_seq", "count")], slices, source)
     run = F.floor(F.col("_seq") / run_rows)
     own = F.struct(run.alias("run"), F.lit(False).alias("halo"))
     copy = F.struct((run + 1).alias("run"), F.lit(True).alias("halo"))

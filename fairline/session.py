@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: settings the library is written for; set them on a cluster as well
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows partitioned by (team, slice) may be joined on (team, opponent, slice)
+    # without another exchange of the wide side
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
+
+
 def local_session(cores: str = "8", app: str = "fairline") -> SparkSession:
     """A session for tests and single-machine runs; clusters bring their own."""
     return (
@@ -16,10 +28,8 @@ def local_session(cores: str = "8", app: str = "fairline") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config(map=SETTINGS)
         .getOrCreate()
     )
 
