@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm import bpe, exact_dedup, slots, token_rollup
+from fairline.llm import bpe, exact_dedup, simhash, slots, token_rollup
 from fairline.llm.common import table
 from fairline.session import cut_lineage, scratch_path
 
@@ -46,6 +46,12 @@ def op3_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf, "documents"), tokenizer_file()))
 
 
+def op4_simhash_gray(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("key"))
+    return simhash.near_groups(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with the copy that stays and the size of its group."""
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
@@ -57,5 +63,5 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_rollup, op2_virtual_slots, op3_bpe, op9_exact_dedup)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_rollup, op2_virtual_slots, op3_bpe, op4_simhash_gray, op9_exact_dedup)}
 SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
