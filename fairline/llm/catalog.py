@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm import bpe, exact_dedup, simhash, slots, token_rollup
+from fairline.llm import bpe, decontaminate, exact_dedup, license_rules, simhash, slots, token_rollup
 from fairline.llm.common import table
 from fairline.session import cut_lineage, scratch_path
 
@@ -52,6 +52,18 @@ def op4_simhash_gray(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_groups(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item that a document holds, with place and similarity; clean documents have no row."""
+    found = decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "n_words", "differing_bits", F.round("similarity", 9).alias("similarity"))
+
+
+def op7_license_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    found = license_rules.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *license_rules.SUMMARY)
+
+
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with the copy that stays and the size of its group."""
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
@@ -63,5 +75,5 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_rollup, op2_virtual_slots, op3_bpe, op4_simhash_gray, op9_exact_dedup)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_rollup, op2_virtual_slots, op3_bpe, op4_simhash_gray, op6_decontaminate, op7_license_rules, op9_exact_dedup)}
 SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
