@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm import bpe, decontaminate, exact_dedup, license_rules, simhash, slots, token_rollup
+from fairline.llm import bpe, decontaminate, exact_dedup, license_rules, simhash, slots, token_rollup, toxic_crf, weak_quality
 from fairline.llm.common import table
 from fairline.session import cut_lineage, scratch_path
 
@@ -64,6 +64,21 @@ def op7_license_rules(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *license_rules.SUMMARY)
 
 
+def op8_toxic_crf(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score and toxic spans of every document; a fifth of the ids is never trained on."""
+    docs = table(spark, sf, "documents")
+    model = toxic_crf.train(docs, table(spark, sf, "labels"))
+    out = toxic_crf.tagged(docs, model)
+    return out.select("doc_id", toxic_crf.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+def op10_weak_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document from weak labels and the linear model trained on them."""
+    docs = table(spark, sf, "documents")
+    out = weak_quality.scored(docs, weak_quality.train(docs))
+    return out.select("doc_id", "score", "posterior", "linear", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("kept"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with the copy that stays and the size of its group."""
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
@@ -75,5 +90,5 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_rollup, op2_virtual_slots, op3_bpe, op4_simhash_gray, op6_decontaminate, op7_license_rules, op9_exact_dedup)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_rollup, op2_virtual_slots, op3_bpe, op4_simhash_gray, op6_decontaminate, op7_license_rules, op8_toxic_crf, op9_exact_dedup, op10_weak_quality)}
 SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
