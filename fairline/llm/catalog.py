@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairline.llm import bpe, decontaminate, exact_dedup, license_rules, simhash, slots, token_rollup, toxic_crf, weak_quality
+from fairline.llm import bpe, decontaminate, exact_dedup, lbl_lm, license_rules, simhash, slots, token_rollup, toxic_crf, weak_quality
 from fairline.llm.common import table
 from fairline.session import cut_lineage, scratch_path
 
@@ -52,6 +52,11 @@ def op4_simhash_gray(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_groups(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_lbl_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-probability of every document under the unigram base and the log-bilinear model."""
+    return lbl_lm.score_documents(table(spark, sf, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item that a document holds, with place and similarity; clean documents have no row."""
     found = decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -90,5 +95,5 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_rollup, op2_virtual_slots, op3_bpe, op4_simhash_gray, op6_decontaminate, op7_license_rules, op8_toxic_crf, op9_exact_dedup, op10_weak_quality)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_token_rollup, op2_virtual_slots, op3_bpe, op4_simhash_gray, op5_lbl_lm, op6_decontaminate, op7_license_rules, op8_toxic_crf, op9_exact_dedup, op10_weak_quality)}
 SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
