@@ -53,11 +53,13 @@ class Spec:
     bits: int = 64
     radius: int = 4
     n_blocks: int = 5
+    block_bits: int | None = None
 
     @property
     def blocks(self) -> list[tuple[int, int]]:
-        """First bit and width of each block; blocks are disjoint."""
-        cuts = [self.bits * k // self.n_blocks for k in range(self.n_blocks + 1)]
+        """First bit and width of each block; blocks are disjoint and share all bits, or the first ones of ``block_bits`` each."""
+        used = self.n_blocks * self.block_bits if self.block_bits else self.bits
+        cuts = [used * k // self.n_blocks for k in range(self.n_blocks + 1)]
         return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
     @property
@@ -76,7 +78,7 @@ class Spec:
 #: four words, 64 bits, four differing bits: an exact search
 CONTRACT = Spec()
 #: five words at a similarity of about 0.8 and more: long fingerprints, whose distance estimates it within a few hundredths
-FIVE_WORDS = Spec(shingle=5, bits=512, radius=87, n_blocks=36)
+FIVE_WORDS = Spec(shingle=5, bits=1024, radius=165, n_blocks=36, block_bits=14)
 
 
 def fingerprint(text: str, spec: Spec = CONTRACT) -> bytes:
@@ -93,10 +95,19 @@ def fingerprint(text: str, spec: Spec = CONTRACT) -> bytes:
     ones = np.zeros(spec.bits, np.int64)
     for at in range(0, len(hashes), SHINGLES):
         lanes = widened(hashes[at : at + SHINGLES], spec.bits // 64)
-        ones += np.unpackbits(lanes.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+        ones += column_sums(np.unpackbits(lanes.astype(">u8").view(np.uint8), axis=1))
     return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
+def column_sums(bits: np.ndarray) -> np.ndarray:
+    """Sums of columns of 0 and 1: bytes hold sums of 255 rows, which adds many at once."""
+    whole = len(bits) // 255 * 255
+    sums = bits[whole:].sum(axis=0, dtype=np.uint8).astype(np.int64)
+    if whole:
+        sums += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return sums
+
+
 def widened(hashes: np.ndarray, lanes: int) -> np.ndarray:
     """Rows of ``lanes`` words: the hash itself, then mixes of it."""
     out = np.empty((len(hashes), lanes), np.uint64)
