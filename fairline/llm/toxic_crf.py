@@ -132,6 +132,7 @@ class ToxicCrf:
     start: float
     moves: np.ndarray
     scorer: np.ndarray
+    unseen: float = -8.0  # emission of words without a known feature: the mean of words that are not toxic
     known: dict[bytes, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -143,7 +144,8 @@ class ToxicCrf:
         return np.array(got, np.float64)
 
     def _emission(self, word: bytes) -> float:
-        e = self.bias + float(self.weights[slots(word)].sum()) if len(word) < 200 else self.bias
+        w = self.weights[slots(word)] if len(word) < 200 else self.weights[:0]
+        e = self.bias + float(w.sum()) if w.any() else self.unseen
         if len(word) < 40:
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
@@ -219,10 +221,11 @@ def fit(rows: list[str], toxic: list[int], shares: dict[int, float]) -> ToxicCrf
             m1 += 0.1 * (g - m1)
             m2 += 0.02 * (g * g - m2)
             value += RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.98**step)) + 1e-8)
-    model = ToxicCrf(weights, float(bias[0]), float(start[0]), moves, empty.scorer)
+    by_word = bias[0] + np.bincount(word_at, weights[slot_at], len(ids))
+    plain = np.bincount(tokens, minlength=len(ids)) * ~marked
+    model = ToxicCrf(weights, float(bias[0]), float(start[0]), moves, empty.scorer, float((by_word * plain).sum() / max(plain.sum(), 1)))
 
     # document score: weighted logistic regression by Newton's method
-    by_word = bias[0] + np.bincount(word_at, weights[slot_at], len(ids))
     x = np.array([summary(q) for q in marginals([by_word[d] for d in docs], start[0], moves)])
     weight = np.where(y == 1, shares[1] / n1, shares[0] / n0)
     weight /= weight.mean()
