@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 from fairline.llm.common import fresh, texts
 
 #: labelled documents of each class that the fit reads, and how long they may be
-SAMPLE, SAMPLE_CHARS = {1: 2000, 0: 4000}, 200_000
+SAMPLE, SAMPLE_CHARS = {1: 1500, 0: 2500}, 200_000
 HASH = 1 << 17
 #: words whose emission a worker remembers, and documents that are run side by side
 CACHE_WORDS, SIDE_BY_SIDE = 300_000, 512
+#: words of such a group, padding included
+GROUP_WORDS = 400_000
 STEPS, RATE, DECAY = 50, 0.3, 1e-4
 SPAN = "array<struct<start:int,end:int,p:double>>"
 
@@ -72,7 +75,7 @@ def side_by_side(lengths: np.ndarray) -> Iterator[np.ndarray]:
     order = order[lengths[order] > 0]
     at = 0
     while at < len(order):
-        size = max(1, min(SIDE_BY_SIDE, 4_000_000 // max(1, int(lengths[order[min(at + SIDE_BY_SIDE, len(order)) - 1]]))))
+        size = max(1, min(SIDE_BY_SIDE, GROUP_WORDS // max(1, int(lengths[order[min(at + SIDE_BY_SIDE, len(order)) - 1]]))))
         yield order[at : at + size]
         at += size
 
@@ -177,16 +180,20 @@ def fit(rows: list[str], toxic: list[int], shares: dict[int, float]) -> ToxicCrf
     if not (y == 1).any() or not (y == 0).any():
         return empty
     ids: dict[bytes, int] = {}
-    docs = [np.array([ids.setdefault(w, len(ids)) for w in words(t)], np.int64) for t in rows]
-    of_word = [slots(w) for w in ids]
-    word_at = np.repeat(np.arange(len(ids)), [len(s) for s in of_word])
-    slot_at = np.array([s for x in of_word for s in x], np.int64)
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in words(t)], np.int32) for t in rows]
+    flat, cuts = array("i"), array("q", [0])
+    for w in ids:
+        flat.extend(slots(w))
+        cuts.append(len(flat))
+    slot_at, cut = np.frombuffer(flat, np.int32), np.frombuffer(cuts, np.int64)
+    word_at = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(cut))
 
     # documents of each class that have a feature
     seen = np.zeros((2, HASH))
     for d, label in zip(docs, y):
-        here = np.unique(np.concatenate([np.array(of_word[w], np.int64) for w in np.unique(d)]) if len(d) else np.zeros(0, np.int64))
-        seen[label, here] += 1
+        here = [slot_at[cut[w] : cut[w + 1]] for w in np.unique(d)]
+        if here:
+            seen[label, np.unique(np.concatenate(here))] += 1
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     odds = np.log((seen[1] + 0.5) / (n1 - seen[1] + 0.5)) - np.log((seen[0] + 0.5) / (n0 - seen[0] + 0.5))
     error = np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5) + 1 / (n1 - seen[1] + 0.5) + 1 / (n0 - seen[0] + 0.5))
