@@ -76,29 +76,31 @@ NUMERIC_COLUMNS = (
 CATEGORICAL = ("league", "split", "side", "patch")
 TARGET = "result"
 
-# Same-match columns: inputs of rolling features, never features themselves.
-# Families that repeat per minute mark or per side are built from their parts.
-_MARKS = (10, 15, 20, 25)
-SAME_MATCH_COLUMNS = frozenset(
-    ["url", "participantid", "position", "playername", "playerid", "firstPick", "champion",
-     "elo_overperf", "firstblood", "firstdragon", "firstherald", "firstbaron", "firsttower",
-     "firstmidtower", "firsttothreetowers", "ckpm", "team_kpm", "vspm", "earned_gpm", "gspd",
-     "gpr", "dpm", "damageshare", "damagetakenperminute", "visionscore", "controlwardsbought",
-     "gamelength", "kills", "deaths", "assists", "teamkills", "teamdeaths", "doublekills",
-     "triplekills", "quadrakills", "pentakills", "firstbloodkill", "firstbloodassist",
-     "firstbloodvictim", "totalgold", "earnedgold", "earnedgoldshare", "goldspent", "total_cs",
-     "minionkills", "monsterkills", "monsterkillsownjungle", "monsterkillsenemyjungle", "cspm",
-     "wardsplaced", "wpm", "wardskilled", "wcpm", "damagetochampions",
-     "damagemitigatedperminute", "damagetotowers", "infernals", "mountains", "clouds", "oceans",
-     "chemtechs", "hextechs", "dragons (type unknown)"]
-    + [f"{kind}{i}" for kind in ("ban", "pick") for i in range(1, 6)]
-    + [f"{stat}diffat{m}" for stat in ("gold", "xp", "cs") for m in _MARKS]
-    + [f"{side}{stat}at{m}" for side in ("", "opp_") for m in _MARKS
-       for stat in ("gold", "xp", "cs", "kills", "assists", "deaths")]
-    + [f"{side}{what}" for side in ("", "opp_")
-       for what in ("dragons", "heralds", "barons", "towers", "turretplates", "void_grubs",
-                    "atakhans", "inhibitors", "elementaldrakes", "elders")]
-)
+# Same-match columns, which are inputs of rolling features and never features themselves.
+SAME_MATCH_COLUMNS = frozenset([
+    "url", "participantid", "position", "playername", "playerid", "firstPick", "champion", "elo_overperf",
+    "firstblood", "firstdragon", "firstherald", "firstbaron", "firsttower", "firstmidtower",
+    "firsttothreetowers", "ckpm", "team_kpm", "vspm", "earned_gpm", "gspd", "gpr", "dpm", "damageshare",
+    "damagetakenperminute", "visionscore", "controlwardsbought", "gamelength", "kills", "deaths", "assists",
+    "teamkills", "teamdeaths", "doublekills", "triplekills", "quadrakills", "pentakills", "firstbloodkill",
+    "firstbloodassist", "firstbloodvictim", "totalgold", "earnedgold", "earnedgoldshare", "goldspent",
+    "total_cs", "minionkills", "monsterkills", "monsterkillsownjungle", "monsterkillsenemyjungle", "cspm",
+    "wardsplaced", "wpm", "wardskilled", "wcpm", "damagetochampions", "damagemitigatedperminute",
+    "damagetotowers", "infernals", "mountains", "clouds", "oceans", "chemtechs", "hextechs",
+    "dragons (type unknown)", "ban1", "ban2", "ban3", "ban4", "ban5", "pick1", "pick2", "pick3", "pick4",
+    "pick5", "golddiffat10", "golddiffat15", "golddiffat20", "golddiffat25", "xpdiffat10", "xpdiffat15",
+    "xpdiffat20", "xpdiffat25", "csdiffat10", "csdiffat15", "csdiffat20", "csdiffat25", "goldat10",
+    "xpat10", "csat10", "killsat10", "assistsat10", "deathsat10", "goldat15", "xpat15", "csat15",
+    "killsat15", "assistsat15", "deathsat15", "goldat20", "xpat20", "csat20", "killsat20", "assistsat20",
+    "deathsat20", "goldat25", "xpat25", "csat25", "killsat25", "assistsat25", "deathsat25", "opp_goldat10",
+    "opp_xpat10", "opp_csat10", "opp_killsat10", "opp_assistsat10", "opp_deathsat10", "opp_goldat15",
+    "opp_xpat15", "opp_csat15", "opp_killsat15", "opp_assistsat15", "opp_deathsat15", "opp_goldat20",
+    "opp_xpat20", "opp_csat20", "opp_killsat20", "opp_assistsat20", "opp_deathsat20", "opp_goldat25",
+    "opp_xpat25", "opp_csat25", "opp_killsat25", "opp_assistsat25", "opp_deathsat25", "dragons", "heralds",
+    "barons", "towers", "turretplates", "void_grubs", "atakhans", "inhibitors", "elementaldrakes", "elders",
+    "opp_dragons", "opp_heralds", "opp_barons", "opp_towers", "opp_turretplates", "opp_void_grubs",
+    "opp_atakhans", "opp_inhibitors", "opp_elementaldrakes", "opp_elders",
+])
 
 # Name prefixes that mark an engineered feature column
 FEATURE_PREFIXES = (

@@ -230,7 +230,7 @@ def generate_quotes(
     out = quoted.withColumns(
         {"taker_fee": taker_fee("p_market"), "est_liq_reward": half_even(reward, 2), "rationale": rationale()}
     )
-    return out.orderBy(F.abs("edge").desc())
+    return out.orderBy(F.abs("edge").desc(), *[c for c in ("match_id",) if c in out.columns])
 
 
 #: price points of the fee table

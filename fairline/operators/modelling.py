@@ -62,7 +62,7 @@ def make_estimator(name: str, rows: int, params: dict | None = None):
         return RandomForestClassifier(numTrees=p["trees"], maxDepth=p["depth"], minInstancesPerNode=p["min_rows"],
                                       seed=C.SEED, **common)
     return LogisticRegression(elasticNetParam=p["l1_ratio"], regParam=1.0 / (p["strength"] * max(rows, 1)),
-                              standardization=False, maxIter=1000 if name != "logistic" else 200, tol=1e-5, **common)
+                              standardization=False, maxIter=1000, tol=1e-5, **common)
 
 
 def with_label(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> DataFrame:
@@ -300,19 +300,30 @@ GROUPS = {
     "H_patch": ("patch_wr_shrunk", "patch_gdiff15_shrunk"),
     "K_interactions": ("ix_",),
 }
-_ABC = ("A_elo", "B_form", "C_earlygame")
-_TIERS = (*_ABC, "C_thresholds", "D_conversion", "E_objectives")
+#: The ten feature sets of the ablation.
 SETS = {
-    "A_elo_only": _ABC[:1],
-    "A+B": _ABC[:2],
-    "A+B+C": _ABC,
-    "A+B+C+thresholds": (*_ABC, "C_thresholds"),
-    "Tier1": (*_ABC, "D_conversion"),
-    "Tier1+thresholds": (*_ABC, "C_thresholds", "D_conversion"),
-    "Tier1+2_no_style": (*_TIERS, "G_side"),
-    "Tier1+2_with_style": (*_TIERS, "F_style", "G_side"),
-    "Tier1+2+interactions": (*_TIERS, "G_side", "K_interactions"),
-    "Full": tuple(GROUPS),
+    "A_elo_only": ("A_elo",),
+    "A+B": ("A_elo", "B_form"),
+    "A+B+C": ("A_elo", "B_form", "C_earlygame"),
+    "A+B+C+thresholds": ("A_elo", "B_form", "C_earlygame", "C_thresholds"),
+    "Tier1": ("A_elo", "B_form", "C_earlygame", "D_conversion"),
+    "Tier1+thresholds": ("A_elo", "B_form", "C_earlygame", "C_thresholds", "D_conversion"),
+    "Tier1+2_no_style": (
+        "A_elo", "B_form", "C_earlygame", "C_thresholds",
+        "D_conversion", "E_objectives", "G_side",
+    ),
+    "Tier1+2_with_style": (
+        "A_elo", "B_form", "C_earlygame", "C_thresholds", "D_conversion",
+        "E_objectives", "F_style", "G_side",
+    ),
+    "Tier1+2+interactions": (
+        "A_elo", "B_form", "C_earlygame", "C_thresholds", "D_conversion",
+        "E_objectives", "G_side", "K_interactions",
+    ),
+    "Full": (
+        "A_elo", "B_form", "C_earlygame", "C_thresholds", "D_conversion", "E_objectives",
+        "F_style", "G_side", "H_patch", "K_interactions",
+    ),
 }
 
 

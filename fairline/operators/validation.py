@@ -26,7 +26,8 @@ def temporal_split(df: DataFrame, frac: float = C.HOLDOUT_FRACTION, slices: Slic
     n = games.select(F.count(F.lit(1))).scalar()
     at = F.struct("date", "gameid")
     cut = ordered.filter(F.col("position") == F.floor(n * (1.0 - F.lit(frac)))).select(F.max(at)).scalar()
-    return games.withColumn("part", F.when(at < cut, "dev").otherwise("holdout"))
+    # no game stands at the cutoff when nothing is held out
+    return games.withColumn("part", F.when(cut.isNull() | (at < cut), "dev").otherwise("holdout"))
 
 
 def split_rows(df: DataFrame, assignment: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -37,10 +37,14 @@ def local_session(cores: str = "8", app: str = "fairline") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests) a temporary folder is set.
+    Only a local session that names none (tests) gets a temporary folder; on a
+    cluster, executors could not read what others wrote to such a folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fairline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -99,3 +99,11 @@ def test_asof_equals_brute_force(spark, log):
     for rows in (100, 100_000):
         out = asof_rows(probes, facts, ["key"], "at", ["gameid"], slices=plan_slices(facts, "date", rows), into="f")
         assert {r["probe"]: r["f"]["gameid"] if r["f"] else None for r in out.collect()} == want
+
+
+def test_split_edges(spark):
+    from fairline.operators.validation import temporal_split
+
+    games = spark.range(10).selectExpr("id as gameid", "timestamp_seconds(id) as date")
+    parts = lambda frac: {r.part: r["count"] for r in temporal_split(games, frac).groupBy("part").count().collect()}
+    assert parts(0.0) == {"dev": 10} and parts(1.0) == {"holdout": 10} and parts(0.3) == {"dev": 7, "holdout": 3}
