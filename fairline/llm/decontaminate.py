@@ -14,7 +14,8 @@ A document shorter than an item is one window.
 
 DataFrame functions only.  Nulls count as empty texts.  Texts and items of less
 than five words match nothing.  Rows are told apart by id and text, so repeated
-rows give one result.  Empty tables give no rows.  Other columns are not read.
+rows give one result; a null id is an id like others (it is wrapped, as joins
+lose nulls).  Empty tables give no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rad
     small = known.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
     bounded = F.broadcast if small else (lambda df: df)
 
-    read = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), shingles(text_or_empty()))
+    read = docs.select(F.struct("doc_id").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), shingles(text_or_empty()))
     spots = read.select(*DOC, F.size("shingles").alias("total"), F.posexplode("shingles").alias("pos", "s"))
     hits = cut_lineage(spots.join(bounded(known), "s", "left_semi"), "hits")
 
@@ -106,7 +107,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rad
     exact = common.withColumn("similarity", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).filter(F.col("similarity") >= similarity)
     best = exact.groupBy(*pair).agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"), "n", "differing_bits")).alias("best"))
     return best.select(
-        *pair, (-F.col("best.at")).cast("long").alias("first_word"), (F.col("best.n") + SHINGLE - 1).alias("n_words"),
+        F.col("doc_id.doc_id").alias("doc_id"), "text_hash", "item_id", (-F.col("best.at")).cast("long").alias("first_word"), (F.col("best.n") + SHINGLE - 1).alias("n_words"),
         F.col("best.differing_bits").alias("differing_bits"), F.col("best.similarity").alias("similarity"),
     )
 

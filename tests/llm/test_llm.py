@@ -229,6 +229,9 @@ def test_op6_leaks(spark, docs, data, empty):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want and len(got) == len(want)
     left = decontaminate.drop_leaks(docs, bench)
     assert left.columns == docs.columns and left.count() == docs.count() - 3
+    nameless = docs.filter("doc_id = 15").withColumn("doc_id", F.lit(None).cast("long"))
+    found = decontaminate.leaks(nameless, bench).collect()
+    assert {r.item_id for r in found} == {k[1] for k in want if k[0] == 15} and decontaminate.drop_leaks(nameless, bench).count() == 0
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
