@@ -14,8 +14,9 @@ RATING_HALF_LIFE_DAYS = 365.0
 SHORT_WINDOW = 5
 LONG_WINDOW = 10
 EWMA_ALPHA = 0.3
-# 0.7 ** 100 is below the resolution of a double, so 100 rows are exact.
-EWMA_ROWS = 100
+# All older rows together weigh 0.7 ** 128 = 1.5e-20, far below the resolution of a
+# double (2.2e-16), so the mean over all history is the mean over 128 rows.
+EWMA_ROWS = 128
 
 # Shrinkage strengths
 SHRINK_CONVERSION = 10

@@ -224,19 +224,10 @@ def prior_count_in_days(
 ) -> DataFrame:
     """Earlier games of the team no older than N days, for each name in ``days``.
 
-    Counted as (earlier games) minus (games older than N days).  With many
-    slices the second count is asked by probe rows at ``date - N days``.
+    Counted as (earlier games) minus (games older than N days); the second count
+    is asked by probe rows at ``date - N days``.
     """
     us = 86_400_000_000
-    if slices.single:
-        by_time = Window.partitionBy(*TEAM).orderBy(F.unix_micros("date"))
-        rn = F.row_number().over(Window.partitionBy(*TEAM).orderBy(*ORDER)) - 1
-        older = {
-            name: F.count(F.lit(1)).over(by_time.rangeBetween(Window.unboundedPreceding, -(n * us) - 1))
-            for name, n in days.items()
-        }
-        return df.withColumns({name: (rn - c).cast("int") for name, c in older.items()})
-
     spots = F.array(
         F.struct(F.lit("").alias("name"), F.col("date").alias("t"), F.lit(1).alias("real")),
         *[
@@ -335,17 +326,14 @@ def build_features(
     slices = slices or plan_slices(teams)
     groups = [g for g in RECENT if style or g is not style_columns]
     base = with_keys(teams)
-    df = base if slices.single else base.withColumn("_slice", slices.column())
+    df = base.withColumn("_slice", slices.column())
     df = recent_features(df, slices, groups, run_rows, base)
     df = career_features(df, slices, base)
     df = side_history(df, slices, base)
     if patch:
         df = patch_features(df, slices, base)
     df = h2h_features(df, slices, base)
-    if slices.single:
-        df = patch_blue_rate(schedule_features(df, slices, base), slices, base)
-    else:
-        df = schedule_features(patch_blue_rate(df, slices, base), slices, base)
+    df = schedule_features(patch_blue_rate(df, slices, base), slices, base)
     if interactions:
         df = interaction_features(df)
     return drop_same_match(df)

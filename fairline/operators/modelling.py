@@ -7,6 +7,7 @@ over folds and settings; folds run side by side in a few threads.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 from collections.abc import Sequence
@@ -16,7 +17,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline import config as C
@@ -144,16 +145,16 @@ def _fold_scores(df: DataFrame, bound: dict, num, cat, jobs: Sequence[tuple[str,
             try:
                 model = make_estimator(name, bound["train_rows"], params).fit(x_train)
                 scored = model.transform(x_val).withColumn("p", vector_to_array("probability")[1])
-                out.append((label, bound["fold"], *binary_metrics(scored, y="label").first()))
-            except Exception as exc:  # noqa: BLE001 - a failing model is left out, the others go on
-                print(f"warning: fold {bound['fold']}, {label} failed: {exc}")
+                out.append((label, bound["fold"], *binary_metrics(scored, y="label").first(), None))
+            except Exception as exc:  # noqa: BLE001 - a failing fit is recorded, the others go on
+                out.append((label, bound["fold"], None, None, None, f"{type(exc).__name__}: {exc}"[:500]))
     finally:
         x_train.unpersist()
         x_val.unpersist()
     return out
 
 
-_SCORES = "model string, fold int, log_loss double, brier double, accuracy double"
+_SCORES = "model string, fold int, log_loss double, brier double, accuracy double, error string"
 
 
 def _over_folds(df, folds, num, cat, jobs, threads) -> DataFrame:
@@ -167,7 +168,7 @@ def _over_folds(df, folds, num, cat, jobs, threads) -> DataFrame:
 def run_cv(
     df: DataFrame, folds: DataFrame, num, cat, models: Sequence[str], params: dict[str, dict] | None = None, threads: int = 3
 ) -> DataFrame:
-    """Metrics per model and fold.  A model that fails on a fold is left out there."""
+    """Metrics per model and fold.  A fit that fails has no metrics, but its ``error``."""
     jobs = [(m, m, (params or {}).get(m, {})) for m in models]
     return _over_folds(df, folds, num, cat, jobs, threads)
 
@@ -209,28 +210,33 @@ def random_search(
     df: DataFrame, folds: DataFrame, num, cat, models: Sequence[str], n_iter: int = C.TUNE_ITERATIONS,
     grids: dict[str, dict[str, list]] | None = None, threads: int = 3,
 ) -> DataFrame:
-    """Mean loss per model and setting, ranked; rank 1 is the setting to use.
+    """Mean loss per model and setting (JSON); ``best`` marks one setting per model.
 
-    All settings of all models share each fold's preprocessing.
+    All settings of all models share each fold's preprocessing.  A setting that
+    failed on a fold is never the best; among equals the first in JSON order is.
     """
     rng = random.Random(C.SEED)
     settings: dict[str, tuple[str, dict]] = {}
     for m in models:
         grid = (grids or GRIDS)[m]
         for p in sample_settings(grid, n_iter, rng) if grid else [{}]:
-            settings[f"{m}:{p}"] = (m, p)
+            settings[f"{m}:{json.dumps(p, sort_keys=True)}"] = (m, p)
     jobs = [(label, m, p) for label, (m, p) in settings.items()]
     scores = _over_folds(df, folds, num, cat, jobs, threads)
     names = df.sparkSession.createDataFrame(
-        [(label, m, str(p)) for label, (m, p) in settings.items()], "label string, name string, params string"
+        [(label, m, json.dumps(p, sort_keys=True)) for label, (m, p) in settings.items()], "label string, name string, params string"
     )
     ranked = scores.join(names, F.col("model") == F.col("label")).groupBy("name", "params").agg(
-        F.avg("log_loss").alias("mean_loss"), F.count(F.lit(1)).alias("n_folds")
-    )
-    best = ranked.groupBy("name").agg(F.min("mean_loss").alias("best_loss"))
-    return ranked.join(best, "name").select(
-        F.col("name").alias("model"), "params", "mean_loss", "n_folds", (F.col("mean_loss") == F.col("best_loss")).alias("best")
+        F.avg("log_loss").alias("mean_loss"), F.count("log_loss").alias("n_folds"), F.count_if(F.col("error").isNotNull()).alias("failed")
     )
+    order = Window.partitionBy("name").orderBy(F.col("failed") > 0, F.col("mean_loss").asc_nulls_last(), "params")
+    best = (F.row_number().over(order) == 1) & (F.col("failed") == 0)
+    return ranked.select(F.col("name").alias("model"), "params", "mean_loss", "n_folds", best.alias("best"))
+
+
+def best_params(found: DataFrame) -> dict[str, dict]:
+    """The best setting per model of a search, as ``run_cv`` and others take it (one row per model)."""
+    return {r["model"]: json.loads(r["params"]) for r in found.filter("best").select("model", "params").collect()}
 
 
 # --- holdout, ensembles -------------------------------------------------------------

@@ -9,6 +9,7 @@ from fairline.config import MIN_ID_COVERAGE, ROSTER_SIZE
 from fairline.operators.features import ORDER, TEAM, with_keys
 from fairline.plans.history import Agg, with_history
 from fairline.plans.slices import Slices, plan_slices
+from fairline.session import cut_lineage
 
 
 def id_coverage(players: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def roster_features(teams: DataFrame, players: DataFrame, slices: Slices | None
     is 0 on a change and grows by one with every later game.
     """
     slices = slices or plan_slices(teams)
-    rows = with_keys(teams).join(roster_map(players), ["gameid", "teamid"], "left")
+    rows = cut_lineage(with_keys(teams).join(roster_map(players), ["gameid", "teamid"], "left"), "rosters")
     size = F.coalesce(F.size("roster"), F.lit(0))
     present = F.when(F.col("roster").isNotNull() & (size > 0), F.col("roster"))
     rows = with_history(

@@ -1,8 +1,7 @@
 """Prefix aggregates over the earlier rows of a key, safe against hot keys.
 
 ``with_history`` adds, for every row, aggregates over the rows of the same key
-that come before it.  With one slice this is a plain running window.  With many
-slices three steps replace it: (1) one small aggregate per (key, slice), whose
+that come before it, in three steps: (1) one small aggregate per (key, slice), whose
 map-side part runs before the shuffle; (2) a running window over those
 aggregates, one row per slice; (3) a running window inside (key, slice), joined
 with the carry of (2).  No task ever sees more than one slice of a key.
@@ -97,10 +96,6 @@ def with_history(
     whose keys start alike share one exchange.
     """
     keys, order = list(keys), list(order)
-    if slices.single:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({a.name: a.over(w) for a in aggs})
-
     keep = "_slice" in df.columns
     sliced = df if keep else df.withColumn("_slice", slices.column())
     part = [F.col(k) for k in keys] + [F.col("_slice")]
@@ -135,11 +130,9 @@ def cut_runs(
     Returns the frame and the columns to partition such windows by.  Long
     histories are cut into runs of ``run_rows`` rows and the last ``halo`` rows
     of a run are copied in front of the next one; ``drop_halo`` removes the
-    copies afterwards.  Small tables come back unchanged.
+    copies afterwards.
     """
     keys = list(keys)
-    if slices.single:
-        return df, keys
     run_rows = max(run_rows, halo)  # a run must hold all rows the next one looks back at
     numbered = with_history(df, keys, order, [Agg("_seq", "count")], slices, source)
     run = F.floor(F.col("_seq") / run_rows)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from fairline.operators.ratings import rate_games
+from fairline.session import cut_lineage
 from fairline.sources.match_log import known_results, pair_opponents
 
 
@@ -19,14 +21,17 @@ class RatingSink:
     Every batch writes its games and a new version of the ratings below
     ``root`` under its batch id.  A batch that runs again after a failure reads
     the version before its own and overwrites what it wrote, so results do not
-    depend on retries.  Batches must arrive in time order.
+    depend on retries.  A game whose second row has not arrived waits below
+    ``root`` as well and is rated with the batch that completes it.  Games are
+    rated in the order of batches; ``late_games`` lists those that came after
+    later ones.
     """
 
     def __init__(self, root: str):
         self.root = root
 
-    def _versions(self, spark: SparkSession) -> list[int]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/ratings")
+    def _versions(self, spark: SparkSession, kind: str = "ratings") -> list[int]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
         fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
         if not fs.exists(folder):
             return []
@@ -36,17 +41,36 @@ class RatingSink:
 
     def ratings(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
         """Newest ratings, or the newest from before a batch."""
-        found = [v for v in self._versions(spark) if before is None or v < before]
-        return spark.read.parquet(f"{self.root}/ratings/batch={found[-1]}") if found else None
+        return self._newest(spark, "ratings", before)
+
+    def pending(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """Rows of games that wait for their other side."""
+        return self._newest(spark, "pending", before)
+
+    def _newest(self, spark: SparkSession, kind: str, before: int | None) -> DataFrame | None:
+        found = [v for v in self._versions(spark, kind) if before is None or v < before]
+        return spark.read.parquet(f"{self.root}/{kind}/batch={found[-1]}") if found else None
 
     def games(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.root}/games")
 
+    def late_games(self, spark: SparkSession) -> DataFrame:
+        """Games that an earlier batch had already rated later games before."""
+        games = self.games(spark)
+        earlier = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # one row per batch
+        newest = games.groupBy("batch").agg(F.max("date").alias("_newest")).withColumn("_newest", F.max("_newest").over(earlier))
+        return games.join(newest, "batch").filter(F.col("date") < F.col("_newest")).drop("_newest")
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        teams = known_results(pair_opponents(batch))
+        waiting = self.pending(spark, batch_id)
+        rows = cut_lineage(batch if waiting is None else batch.unionByName(waiting), "ingest")
+        alone = rows.groupBy("gameid").count().filter("count = 1").select("gameid")
+        rows.join(alone, "gameid", "left_semi").write.mode("overwrite").parquet(f"{self.root}/pending/batch={batch_id}")
+        teams = known_results(pair_opponents(rows))
         games, ratings = rate_games(teams, self.ratings(spark, batch_id))
-        games.write.mode("overwrite").parquet(f"{self.root}/games/batch={batch_id}")
+        played = teams.groupBy("gameid").agg(F.min("date").alias("date"))
+        games.join(played, "gameid").write.mode("overwrite").parquet(f"{self.root}/games/batch={batch_id}")
         ratings.write.mode("overwrite").parquet(f"{self.root}/ratings/batch={batch_id}")
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from fairline.plans.affine import affine_scan
 from fairline.plans.asof import asof_rows
 from fairline.plans.history import Agg, anonymous_key, cut_runs, drop_halo, with_history
-from fairline.plans.slices import ONE_SLICE, plan_slices
+from fairline.operators.modelling import best_params
+from fairline.plans.slices import NARROWING, ONE_SLICE, Slices, plan_slices
+from fairline.streaming.ingest import RatingSink
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +43,43 @@ def test_slices_keep_their_bound(log):
     assert plan_slices(log, "date", 10_000).single
 
 
+def test_crowded_instant_needs_no_more_passes(spark, log):
+    crowd = spark.range(120).select((F.col("id") + 10_000).alias("id"), F.lit(0).alias("key"), F.lit(1.0).alias("v"),
+                                    F.timestamp_seconds(F.lit(77)).alias("date"))
+    rows = log.select("id", "key", "v", "date").unionByName(crowd)
+    cut = plan_slices(rows, "date", 100)
+    widest = plan_slices(log, "date", 100)
+    assert not cut.single and cut.width_us * 2 * NARROWING > widest.width_us
+
+
+def test_rows_without_time_come_first(spark):
+    rows = spark.createDataFrame([(1, "x", None), (2, "x", 10), (3, "x", 900)], "id int, key string, s long")
+    rows = rows.withColumn("date", F.timestamp_seconds("s"))
+    for cut in (ONE_SLICE, Slices("date", 10_000_000, 1_000_000)):
+        out = with_history(rows, ["key"], ["date", "id"], [Agg("n", "count")], cut)
+        assert {r["id"]: r["n"] for r in out.collect()} == {1: 0, 2: 1, 3: 2}
+
+
+def test_game_split_over_batches_is_rated(spark, tmp_path):
+    games = [(g, f"2024-01-0{g} 10:00:00", side, team, won) for g, side, team, won in
+             [(1, "Blue", "a", 1), (1, "Red", "b", 0), (2, "Blue", "b", 1), (3, "Blue", "a", 1), (3, "Red", "c", 0), (2, "Red", "a", 0)]]
+    rows = spark.createDataFrame(games, "gameid long, date string, side string, teamid string, result int").withColumn("date", F.to_timestamp("date"))
+    sink = RatingSink(str(tmp_path))
+    first = rows.filter("gameid = 1 or (gameid = 2 and side = 'Blue')")
+    for batch, part in enumerate((first, rows.exceptAll(first), first.limit(0))):
+        sink(part, batch)
+    sink(rows.exceptAll(first), 1)  # a retry changes nothing
+    assert sorted(r["gameid"] for r in sink.games(spark).select("gameid").distinct().collect()) == [1, 2, 3]
+    assert sink.pending(spark).count() == 0 and sink.pending(spark, 1).count() == 1
+    assert sink.late_games(spark).count() == 0
+
+
+def test_search_marks_one_complete_setting(spark):
+    found = spark.createDataFrame([("m", '{"strength": 0.1}', 0.5, 2, True), ("m", '{"strength": 1.0}', 0.6, 2, False)],
+                                  "model string, params string, mean_loss double, n_folds long, best boolean")
+    assert best_params(found) == {"m": {"strength": 0.1}}
+
+
 @pytest.mark.parametrize("keys", [["key"], []])
 def test_history_in_slices_equals_one_window(log, keys):
     cols = [a.name for a in aggs()]
