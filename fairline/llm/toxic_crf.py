@@ -26,6 +26,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,30 +39,36 @@ from fairline.llm.common import fresh, texts
 #: labelled documents of each class that the fit reads, and how long they may be
 SAMPLE, SAMPLE_CHARS = {1: 1500, 0: 2500}, 200_000
 HASH = 1 << 17
-#: words whose emission a worker remembers, and documents that are run side by side
-CACHE_WORDS, SIDE_BY_SIDE = 300_000, 512
-#: words of such a group, padding included
-GROUP_WORDS = 400_000
+#: words whose emission a worker remembers
+CACHE_WORDS = 300_000
+#: words of documents that are run side by side
+GROUP_WORDS = 1_000_000
 STEPS, RATE, DECAY = 50, 0.3, 1e-4
 SPAN = "array<struct<start:int,end:int,p:double>>"
 
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
+_W, _P, _S = (zlib.crc32(c) for c in (b"w", b"p", b"s"))
 
 
 def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def features(word: bytes) -> list[str]:
-    """The word without marks at its ends, its beginnings and its last letters."""
+def slots(word: bytes) -> list[int]:
+    """Hashed features: the word without marks at its ends, its beginnings and its last letters."""
+    crc = zlib.crc32
+    if word.isalnum():  # of ASCII letters and digits alone, so bytes are characters
+        n = len(word)
+        out = [crc(word, _W) % HASH]
+        out += [crc(word[:k], _P) % HASH for k in (4, 5, 6, 7) if n > k]
+        if n > 5:
+            out.append(crc(word[-5:], _S) % HASH)
+        return out
     core = _edges.sub("", word.decode("utf-8", "replace"))
     if not core:
         return []
-    return ["w" + core, *["p" + core[:n] for n in (4, 5, 6, 7) if len(core) > n], *(["s" + core[-5:]] if len(core) > 5 else [])]
-
-
-def slots(word: bytes) -> list[int]:
-    return [zlib.crc32(f.encode()) % HASH for f in features(word)]
+    parts = [(core, _W), *[(core[:k], _P) for k in (4, 5, 6, 7) if len(core) > k], *([(core[-5:], _S)] if len(core) > 5 else [])]
+    return [crc(part.encode(), kind) % HASH for part, kind in parts]
 
 
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
@@ -69,15 +76,62 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def side_by_side(lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """Documents in groups of similar length."""
-    order = np.argsort(lengths, kind="stable")
-    order = order[lengths[order] > 0]
-    at = 0
-    while at < len(order):
-        size = max(1, min(SIDE_BY_SIDE, GROUP_WORDS // max(1, int(lengths[order[min(at + SIDE_BY_SIDE, len(order)) - 1]]))))
-        yield order[at : at + size]
-        at += size
+class Packed:
+    """Words of documents ordered by place, and at each place from the longest document to the shortest.
+
+    The documents that still go on at a place are then the first ones, so a
+    step of a recursion is one slice and nothing is padded.  ``where`` tells the
+    position of each word of the documents laid end to end.
+    """
+
+    def __init__(self, lengths: np.ndarray):
+        order = np.argsort(-lengths, kind="stable")
+        n = -lengths[order]
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.active = np.searchsorted(n, -np.arange(-n[0] if len(n) else 0))
+        self.at = np.concatenate([[0], np.cumsum(self.active)])
+        place = np.arange(self.at[-1]) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.where = self.at[place] + np.repeat(rank, lengths)
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """For every word but the first of its document, the position of the word before it."""
+        return np.arange(self.at[min(1, len(self.active))], self.at[-1]) - np.repeat(self.active[:-1], self.active[1:])
+
+    def marginals(self, x: np.ndarray, start: float, moves: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        """Probability of toxicity per packed word, from packed exponential emissions ``x``."""
+        (m00, m01), (m10, m11) = np.exp(moves).tolist()
+        active, at = self.active.tolist(), self.at.tolist()
+        ahead, back = np.empty_like(x), np.ones_like(x)
+        if active:
+            ahead[: active[0]] = x[: active[0]] * math.exp(start)
+        for t in range(1, len(active)):
+            c, s, e = active[t], at[t - 1], at[t]
+            r = ahead[s : s + c]
+            ahead[e : e + c] = x[e : e + c] * (m01 + m11 * r) / (m00 + m10 * r)
+        for t in range(len(active) - 2, -1, -1):
+            c, s, e = active[t + 1], at[t], at[t + 1]
+            r = x[e : e + c] * back[e : e + c]
+            back[s : s + c] = (m10 + m11 * r) / (m00 + m01 * r)
+        odds = ahead * back
+        if pairs is not None and len(active) > 1:
+            a, b = ahead[self.before], (x * back)[at[1] :]
+            share = 1 / (m00 + m01 * b + a * (m10 + m11 * b))
+            pairs += [[m00 * share.sum(), m01 * (b @ share)], [m10 * (a @ share), m11 * ((a * b) @ share)]]
+        return odds / (1 + odds)
+
+
+def in_groups(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of documents of about ``GROUP_WORDS`` words; a longer document is a run of its own."""
+    first = total = 0
+    for i, n in enumerate(lengths.tolist()):
+        if total and total + n > GROUP_WORDS:
+            yield first, i
+            first, total = i, 0
+        total += n
+    if first < len(lengths):
+        yield first, len(lengths)
 
 
 def marginals(emissions: list[np.ndarray], start: float, moves: np.ndarray, pairs: np.ndarray | None = None) -> list[np.ndarray]:
@@ -87,30 +141,13 @@ def marginals(emissions: list[np.ndarray], start: float, moves: np.ndarray, pair
     up the expected number of each transition.
     """
     lengths = np.array([len(e) for e in emissions], np.int64)
-    out = [np.zeros(0)] * len(emissions)
-    m = np.exp(moves)
-    for group in side_by_side(lengths):
-        n, width = lengths[group], int(lengths[group].max())
-        x = np.ones((width, len(group)))
-        for k, i in enumerate(group):
-            x[: n[k], k] = np.exp(np.clip(emissions[i], -30, 30))
-        ahead, back = np.empty_like(x), np.ones_like(x)
-        ahead[0] = x[0] * math.exp(start)
-        for t in range(1, width):
-            r = ahead[t - 1]
-            ahead[t] = x[t] * (m[0, 1] + m[1, 1] * r) / (m[0, 0] + m[1, 0] * r)
-        for t in range(width - 2, -1, -1):
-            r = x[t + 1] * back[t + 1]
-            back[t] = np.where(t + 1 < n, (m[1, 0] + m[1, 1] * r) / (m[0, 0] + m[0, 1] * r), 1.0)
-        odds = ahead * back
-        p = odds / (1 + odds)
-        if pairs is not None and width > 1:
-            inside = np.arange(1, width)[:, None] < n
-            a, b = ahead[:-1], x[1:] * back[1:]
-            joint = np.array([[np.full_like(a, m[0, 0]), m[0, 1] * b], [m[1, 0] * a, m[1, 1] * a * b]])
-            pairs += (joint / joint.sum((0, 1)) * inside).sum((2, 3))
-        for k, i in enumerate(group):
-            out[i] = p[: n[k], k]
+    out: list[np.ndarray] = []
+    for lo, hi in in_groups(lengths):
+        packed = Packed(lengths[lo:hi])
+        x = np.empty(len(packed.where))
+        x[packed.where] = np.exp(np.clip(np.concatenate(emissions[lo:hi]), -30, 30))
+        p = packed.marginals(x, start, moves, pairs)[packed.where]
+        out += np.split(p, np.cumsum(lengths[lo:hi])[:-1])
     return out
 
 
@@ -137,9 +174,10 @@ class ToxicCrf:
     scorer: np.ndarray
     unseen: float = -8.0  # emission of words without a known feature: the mean of words that are not toxic
     known: dict[bytes, float] = field(default_factory=dict, repr=False)
+    plain: list[float] = field(default_factory=list, repr=False)  # weights as numbers that single words look up faster
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "plain": []}
 
     def emissions(self, text: str) -> np.ndarray:
         known, make, row = self.known.get, self._emission, words(text)
@@ -147,8 +185,10 @@ class ToxicCrf:
         return np.array(got, np.float64)
 
     def _emission(self, word: bytes) -> float:
-        w = self.weights[slots(word)] if len(word) < 200 else self.weights[:0]
-        e = self.bias + float(w.sum()) if w.any() else self.unseen
+        if not self.plain:
+            self.plain = self.weights.tolist()
+        w = [self.plain[i] for i in slots(word)] if len(word) < 200 else []
+        e = self.bias + sum(w) if any(w) else self.unseen
         if len(word) < 40:
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
@@ -203,6 +243,10 @@ def fit(rows: list[str], toxic: list[int], shares: dict[int, float]) -> ToxicCrf
     labels = [(marked[d] & (t == 1)).astype(float) for d, t in zip(docs, y)]
     weights, moves, start = np.zeros(HASH), np.zeros((2, 2)), np.zeros(1)
     tokens = np.concatenate(docs)
+    packed = Packed(np.array([len(d) for d in docs], np.int64))
+    at_place = np.empty_like(tokens)
+    at_place[packed.where] = tokens
+    n_first = packed.active[:1].sum()
     target = np.bincount(tokens, np.concatenate(labels), len(ids))
     share = max(target.sum(), 1.0) / len(tokens)
     bias = np.array([math.log(share / (1 - min(share, 0.99)))])
@@ -216,11 +260,11 @@ def fit(rows: list[str], toxic: list[int], shares: dict[int, float]) -> ToxicCrf
     for step in range(1, STEPS + 1):
         by_word = bias[0] + np.bincount(word_at, weights[slot_at], len(ids))
         pairs = np.zeros((2, 2))
-        p = marginals([by_word[d] for d in docs], start[0], moves, pairs)
-        miss = target - np.bincount(tokens, np.concatenate(p), len(ids))
+        p = packed.marginals(np.exp(np.clip(by_word, -30, 30))[at_place], start[0], moves, pairs)
+        miss = target - np.bincount(at_place, p, len(ids))
         grads = {
             "w": np.bincount(slot_at, miss[word_at], HASH) / np.sqrt(often) - DECAY * often**0.5 * weights,
-            "m": (truth - pairs) / len(tokens) * 100, "s": np.array([first - sum(x[0] for x in p if len(x))]) / len(docs),
+            "m": (truth - pairs) / len(tokens) * 100, "s": np.array([first - p[:n_first].sum()]) / len(docs),
             "b": np.array([miss.sum() / len(tokens) * 100]),
         }
         for key, value in (("w", weights), ("m", moves), ("s", start), ("b", bias)):
