@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fairline import config as C
+from fairline import fixtures
 from fairline.catalog import features as cf
 from fairline.catalog.base import MATCHES, RATINGS, Registry, match_slices, rated_rows, register, sql, stage, team_rows
-from fairline.operators import dataset, features
+from fairline.operators import dataset, features, rosters
 
 REGISTRY: Registry = {}
 KEYS = ("gameid", "side", "teamid")
 
 
 def feature_rows(spark, sf):
-    """All team features (a stage table)."""
-    return stage(
-        spark, sf, "features", lambda: features.build_features(rated_rows(spark, sf), match_slices(spark, sf))
-    )
+    """All team features, roster stability included (a stage table)."""
+    def build():
+        slices = match_slices(spark, sf)
+        rows = rosters.roster_features(rated_rows(spark, sf), fixtures.player_rows(spark, sf), slices)
+        return features.build_features(rows, slices)
+
+    return stage(spark, sf, "features", build)
 
 
 def dataset_rows(spark, sf):
@@ -46,8 +50,10 @@ FEATURES += ",\nf7 AS (" + cf.SIDE_SQL.replace("FROM m JOIN", "FROM f6 m JOIN").
 FEATURES += f",\nf8 AS (SELECT *, {cf._shrunk_sql('teamid, patch', 5, 'patch_wr_shrunk')} FROM f7)"
 FEATURES += (f",\nf9 AS (SELECT *, count(*) OVER {cf.prior('all', 'teamid, opp_teamid')} AS h2h_n_games, "
              f"{cf._shrunk_sql('teamid, opp_teamid', 5, 'h2h_wr')} FROM f8)")
-FEATURES += ",\nf AS (SELECT *, " + ", ".join(
-    f"coalesce({a}, 0) * coalesce({b}, 0) AS {n}" for n, (a, b) in features.INTERACTIONS.items()) + " FROM f9)"
+FEATURES += cf.ROSTER.removeprefix(MATCHES)
+FEATURES += ",\nf AS (SELECT f9.*, r.roster_overlap, r.games_since_roster_change, " + ", ".join(
+    f"coalesce({a}, 0) * coalesce({b}, 0) AS {n}" for n, (a, b) in features.INTERACTIONS.items()
+) + " FROM f9 JOIN r ON f9.gameid = r.gameid AND f9.teamid = r.teamid)"
 
 IX = list(features.INTERACTIONS)
 IX_ELO = [c for c in IX if "elo" in c]
@@ -65,8 +71,8 @@ def interactions(spark, sf):
 
 
 FLOATS = [*cf.FORM, *cf.STRENGTH, *cf.EARLY, *cf.OBJECTIVE, *cf.STYLE, *cf.CAREER, "days_since_last", *cf.SIDE,
-          "patch_wr_shrunk", "h2h_wr", *[c for c in cf.ELO if c != "elo_overperf"], *cf.DECAYED, "elo_league_rel", *IX]
-INTS = [*cf.WORKLOAD, "is_blue", "n_games_played", "h2h_n_games"]
+          "patch_wr_shrunk", "h2h_wr", *[c for c in cf.ELO if c != "elo_overperf"], *cf.DECAYED, "elo_league_rel", "roster_overlap", *IX]
+INTS = [*cf.WORKLOAD, "is_blue", "n_games_played", "h2h_n_games", "games_since_roster_change"]
 META = ["gameid", "year", "teamid", "teamname", "opp_teamid", "league", "split", "playoffs", "patch", "game", "side",
         "result", "k", "value", "other_k", "other_value"]
 
@@ -82,22 +88,23 @@ def leak_guard(spark, sf):
 
 
 _SHOWN = ["wr_L5", "wr_L10", "ewma_result", "elo_team", "elo_diff", "elo_expected", "days_since_last",
-          "lead_conv_rate", "h2h_wr", "patch_blue_wr"]
+          "lead_conv_rate", "h2h_wr", "patch_blue_wr", "roster_overlap"]
+_COUNT = "games_since_roster_change"
 _OPP = [f"opp_{c}" for c in _SHOWN if c not in C.NO_OPPONENT]
 _DIFF = [f"diff_{c}" for c in _SHOWN if c not in C.NO_DIFF]
-MIRROR = ("SELECT t.*, " + ", ".join(f"o.{c} AS opp_{c}" for c in _SHOWN) + ", "
-          + ", ".join(f"t.{c} - o.{c} AS diff_{c}" for c in _SHOWN)
+MIRROR = ("SELECT t.*, " + ", ".join(f"o.{c} AS opp_{c}" for c in [*_SHOWN, _COUNT]) + ", "
+          + ", ".join(f"t.{c} - o.{c} AS diff_{c}" for c in [*_SHOWN, _COUNT])
           + " FROM f t LEFT JOIN f o ON t.gameid = o.gameid AND t.opp_teamid = o.teamid")
 
 
-@register(REGISTRY, "J2_mirror_opponent", sql(FEATURES, MIRROR, KEYS, [*_SHOWN, *_OPP], 3), 3)
+@register(REGISTRY, "J2_mirror_opponent", sql(FEATURES, MIRROR, [*KEYS, _COUNT, f"opp_{_COUNT}"], [*_SHOWN, *_OPP], 3), 3)
 def mirror(spark, sf):
-    return dataset_rows(spark, sf).select(*KEYS, *_SHOWN, *_OPP)
+    return dataset_rows(spark, sf).select(*KEYS, _COUNT, f"opp_{_COUNT}", *_SHOWN, *_OPP)
 
 
-@register(REGISTRY, "J3_differences", sql(FEATURES, MIRROR, KEYS, _DIFF, 3), 3)
+@register(REGISTRY, "J3_differences", sql(FEATURES, MIRROR, [*KEYS, f"diff_{_COUNT}"], _DIFF, 3), 3)
 def differences(spark, sf):
-    return dataset_rows(spark, sf).select(*KEYS, *_DIFF)
+    return dataset_rows(spark, sf).select(*KEYS, f"diff_{_COUNT}", *_DIFF)
 
 
 @register(REGISTRY, "P1_P3_feature_columns")
