@@ -14,12 +14,16 @@ REGISTRY: Registry = {}
 KEYS = ("gameid", "side", "teamid")
 
 
+def roster_rows(spark, sf, slices):
+    """Rated match rows with roster stability."""
+    return rosters.roster_features(rated_rows(spark, sf), fixtures.player_rows(spark, sf), slices)
+
+
 def feature_rows(spark, sf):
     """All team features, roster stability included (a stage table)."""
     def build():
         slices = match_slices(spark, sf)
-        rows = rosters.roster_features(rated_rows(spark, sf), fixtures.player_rows(spark, sf), slices)
-        return features.build_features(rows, slices)
+        return features.build_features(roster_rows(spark, sf, slices), slices)
 
     return stage(spark, sf, "features", build)
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from fairline import fixtures
 from fairline.aliases import TEAM_ALIASES
-from fairline.catalog.base import Registry, match_slices, rated_rows, register, sql, stage
-from fairline.catalog.dataset import dataset_rows, feature_rows
+from fairline.catalog.base import Registry, match_slices, register, sql, stage
+from fairline.catalog.dataset import dataset_rows, feature_rows, roster_rows
 from fairline.catalog.markets import parsed
 from fairline.catalog.pricing import SCORED
 from fairline.catalog.reports import pairs
@@ -195,7 +195,7 @@ def draft_model(spark, sf):
     slices = match_slices(spark, sf)
 
     def build():
-        rows = draft.draft_features(rated_rows(spark, sf), slices)
+        rows = draft.draft_features(roster_rows(spark, sf, slices), slices)
         return dataset.mirror_dataset(features.build_features(rows, slices))
 
     ds = stage(spark, sf, "draft_dataset", build)
