@@ -19,9 +19,17 @@ from fairline.sources.store import load_model, save_model
 
 REGISTRY: Registry = {}
 
-#: settings that keep the registered fits short on every scale
-QUICK = {"gbt": {"trees": 10, "depth": 3}, "random_forest": {"trees": 10, "depth": 4},
-         "ridge_lr": {"strength": 0.001}, "lasso_lr": {"strength": 0.01}, "elasticnet": {"strength": 0.01}}
+#: every registered model, fitted with its default settings
+ALL = tuple(M.DEFAULTS)
+#: last folds that feature sets are compared on
+COMPARED_FOLDS = 20
+#: whether a comparison's first side goes without a column
+COMPARED = {
+    "style": lambda c: any(f"{w}_mean_L10" in c for w in ("pace", "vision", "economy", "aggression", "gamelength")),
+    "interactions": lambda c: "ix_" in c,
+    "thresholds": lambda c: c.removeprefix("opp_").removeprefix("diff_").startswith(M.GROUPS["C_thresholds"]),
+    "decayed_elo": lambda c: c.startswith(("elo_decayed_team", "elo_decayed_opp", "elo_decayed_diff", "ix_dec_elo")),
+}
 
 
 # --- tables of scores that SQL can check ---------------------------------------------
@@ -105,14 +113,10 @@ def _parts(spark, sf):
     return stage(spark, sf, "dev", lambda: dev), stage(spark, sf, "holdout", lambda: holdout), num, cat
 
 
-def _last(spark, sf, n):
-    return validation.last_folds(folds(spark, sf), n)
-
-
 def _cv(spark, sf):
     def build():
         dev, _, num, cat = _parts(spark, sf)
-        return M.run_cv(dev, _last(spark, sf, 2), num, cat, ["ridge_lr", "lasso_lr", "gbt"], QUICK)
+        return M.run_cv(dev, folds(spark, sf), num, cat, ALL)
 
     return stage(spark, sf, "cv", build)
 
@@ -130,13 +134,13 @@ def over_time(spark, sf):
 @register(REGISTRY, "M7_random_search")
 def search(spark, sf):
     dev, _, num, cat = _parts(spark, sf)
-    return M.random_search(dev, _last(spark, sf, 2), num, cat, ["ridge_lr", "elasticnet"], n_iter=2)
+    return M.random_search(dev, validation.last_folds(folds(spark, sf)), num, cat, ALL)
 
 
 def _holdout(spark, sf):
     def build():
         dev, holdout, num, cat = _parts(spark, sf)
-        return M.holdout_predictions(dev, holdout, num, cat, ["ridge_lr", "random_forest", "logistic"], QUICK)
+        return M.holdout_predictions(dev, holdout, num, cat, ALL)
 
     return stage(spark, sf, "holdout_p", build)
 
@@ -154,15 +158,18 @@ def holdout_calibration(spark, sf):
 @register(REGISTRY, "M12_ablation")
 def ablation(spark, sf):
     dev, _, num, cat = _parts(spark, sf)
-    sets = {k: M.SETS[k] for k in ("A_elo_only", "Tier1", "Full")}
-    return M.ablation_table(M.run_ablation(dev, _last(spark, sf, 2), num, cat, params=QUICK["ridge_lr"], sets=sets))
+    return M.ablation_table(M.run_ablation(dev, validation.last_folds(folds(spark, sf)), num, cat))
 
 
 @register(REGISTRY, "M13_feature_set_comparison")
 def comparison(spark, sf):
     dev, _, num, cat = _parts(spark, sf)
-    plain = [c for c in num if "ix_" not in c]
-    return M.compare_feature_sets(dev, _last(spark, sf, 2), cat, ("without_interactions", plain), ("with_interactions", num))
+    last, out = validation.last_folds(folds(spark, sf), COMPARED_FOLDS), None
+    for name, left_out in COMPARED.items():
+        plain = [c for c in num if not left_out(c)]
+        part = M.compare_feature_sets(dev, last, cat, (f"without_{name}", plain), (f"with_{name}", num))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register(REGISTRY, "T5_importances")
@@ -170,7 +177,7 @@ def importances(spark, sf):
     dev, holdout, num, cat = _parts(spark, sf)
     out = None
     for name in ("gbt", "lasso_lr"):
-        model = M.fit_model(name, dev, num, cat, QUICK[name])
+        model = M.fit_model(name, dev, num, cat)
         scored = model.transform(M.with_label(holdout, num, cat))
         part = M.importance_table(model, scored, num).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
@@ -182,8 +189,8 @@ def saved_model(spark, sf):
     """A model is saved, found again by preference and used on pairs of teams."""
     dev, _, num, cat = _parts(spark, sf)
     root = scratch_path(spark, "models")
-    for name, params in (("ridge_lr", QUICK["ridge_lr"]), ("gbt", QUICK["gbt"])):
-        save_model(M.fit_model(name, dev, num, cat, params), root, name)
+    for name in ALL:
+        save_model(M.fit_model(name, dev, num, cat), root, name)
     _, model = load_model(spark, root)
     rows = M.with_label(matchups.matchup_rows(pairs(spark, sf), feature_rows(spark, sf)), num, cat)
     return matchups.predict_matchups(rows, model, ["pair"])
@@ -191,7 +198,7 @@ def saved_model(spark, sf):
 
 @register(REGISTRY, "M15_draft_model")
 def draft_model(spark, sf):
-    """Holdout metrics of the same model with and without the draft groups."""
+    """Holdout metrics of every model with and without the draft groups."""
     slices = match_slices(spark, sf)
 
     def build():
@@ -204,8 +211,8 @@ def draft_model(spark, sf):
     plain = [c for c in num if not any(w in c for w in ("champ_", "series_", "has_first_pick"))]
     out = None
     for label, cols in (("pre_draft", plain), ("draft", num)):
-        p = M.holdout_predictions(dev, holdout, cols, cat, ["ridge_lr"], QUICK)
-        part = M.binary_metrics(p).withColumns({"model": F.lit(label), "n_features": F.lit(len(cols))})
+        p = M.holdout_predictions(dev, holdout, cols, cat, ALL)
+        part = M.binary_metrics(p, ["model"]).withColumns({"columns": F.lit(label), "n_features": F.lit(len(cols))})
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -214,7 +221,7 @@ def draft_model(spark, sf):
 def market_backtest(spark, sf):
     """Settled markets to bets: names, as-of rows, model, rating price, ledger."""
     dev, _, num, cat = _parts(spark, sf)
-    model = M.fit_model("ridge_lr", dev, num, cat, QUICK["ridge_lr"])
+    model = M.fit_model("ridge_lr", dev, num, cat)
     found = matchups.backtest_rows(parsed(spark, sf), feature_rows(spark, sf), TEAM_ALIASES)
     bets = matchups.backtest(M.with_label(found, num, cat), model)
     return bets.select("match_id", "p_model", "p_market", "result", "bet_direction", "stake", "directional_pnl", "cumulative_pnl")
