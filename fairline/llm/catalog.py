@@ -22,7 +22,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    """Totals by source, language and tokenizer version after load, revision, deletes and a repeated batch."""
+    """Totals over all documents by source, language and tokenizer version, after load, revision, strays that are deleted again and a repeated batch."""
     docs = table(spark, sf, "documents")
     versions = {"byte_bpe_50k": tokenizer_file(), "words": None}
     counted = cut_lineage(token_rollup.count_tokens(docs, versions), "token-counts")

@@ -107,22 +107,29 @@ def side(tokens: str) -> Column:
     return F.struct(*[F.col(c).alias(c) for c in GROUP], F.col(tokens).cast("long").alias("tokens"))
 
 
-def corpus_rollup(docs: DataFrame, tokenizers: Mapping[str, str | None], root: str, counted: DataFrame, min_tokens: int = 20) -> TokenRollup:
-    """Rollup of a corpus: load with estimates, revise to real counts, delete documents under ``min_tokens``.
+def corpus_rollup(docs: DataFrame, tokenizers: Mapping[str, str | None], root: str, counted: DataFrame, min_tokens: int = 0) -> TokenRollup:
+    """Rollup of a corpus: load with estimates, revise to real counts, delete what should not be there.
 
     The load knows only n_chars (a token per four characters); the second batch
-    revises every count; the third deletes short documents.  The second batch is
-    sent twice, as after a lost answer, and changes nothing the second time.
+    revises every count.  The third loads about an eighth of the documents once
+    more, under a null language, and the fourth deletes those again, so the
+    totals are the counts of all documents.  The second batch is sent twice, as
+    after a lost answer, and changes nothing the second time.  Only a caller that
+    sets ``min_tokens`` has documents under it deleted in a further batch.
     """
     rows = counted.withColumn("guess", F.coalesce(F.ceil(F.col("n_chars") / 4), F.lit(0)).cast("long"))
     guess, real = side("guess"), side("n_tokens")
-    none = F.lit(None)
+    none = F.lit(None).cast(_struct(rows))
     rollup = TokenRollup(docs.sparkSession, root)
     kind = lambda name: F.lit(name).alias("kind")
     revised = rows.select(kind("revise"), guess.alias("old"), real.alias("new"))
-    rollup.commit("1-load", rows.select(kind("insert"), none.cast(_struct(rows)).alias("old"), guess.alias("new")))
+    stray = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).withColumn("lang", F.lit(None).cast(rows.schema["lang"].dataType))
+    rollup.commit("1-load", rows.select(kind("insert"), none.alias("old"), guess.alias("new")))
     rollup.commit("2-counts", revised)
-    rollup.commit("3-short", rows.filter(F.col("n_tokens") < min_tokens).select(kind("delete"), real.alias("old"), none.cast(_struct(rows)).alias("new")))
+    rollup.commit("3-stray", stray.select(kind("insert"), none.alias("old"), real.alias("new")))
+    rollup.commit("4-stray-out", stray.select(kind("delete"), real.alias("old"), none.alias("new")))
+    if min_tokens:
+        rollup.commit("5-short", rows.filter(F.col("n_tokens") < min_tokens).select(kind("delete"), real.alias("old"), none.alias("new")))
     rollup.commit("2-counts", revised)
     return rollup
 

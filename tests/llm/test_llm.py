@@ -79,6 +79,18 @@ def test_op1_rollup(spark, docs, data, empty):
     assert none.totals().count() == 0
 
 
+def test_op1_counts_all_documents(spark, docs, data):
+    versions = {"words": None, "bpe": tokenizer_file()}
+    rollup = token_rollup.corpus_rollup(docs, versions, path := scratch_path(spark, "t"), token_rollup.count_tokens(docs, versions).cache())
+    count = {"words": lambda t: len(t.encode().split()), "bpe": bpe.loaded(tokenizer_file()).count}
+    want = collections.defaultdict(lambda: [0, 0])
+    for r, name in itertools.product(data[0], versions):
+        want[r[3], r[2], name][0] += 1
+        want[r[3], r[2], name][1] += count[name](r[1] or "")
+    assert {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()} == dict(want)
+    assert spark.read.parquet(f"{path}/batch=4-stray-out").filter("d_docs < 0").count() > 0
+
+
 def test_op2_slots(spark, docs, data, empty):
     table = slots.slotted(docs, 64)
     weights, counts = slots.slot_weights(table, 64)
