@@ -26,7 +26,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of about 0.8 and more."""
+    """One document of each group of near copies stays: linked at an exact five-word similarity of 0.8 or more."""
     return simhash.drop_near_copies(docs)
 
 

@@ -190,6 +190,66 @@ def test_op4_stage_keeps_columns(docs, empty):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def word_sets(texts):
+    def one(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+
+    return [one(t) for t in texts]
+
+
+def joined(sets):
+    """Label of each set: components of pairs at 0.8 or more."""
+    label = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(sets[i] & sets[j])
+        if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+            label = [label[i] if x == label[j] else x for x in label]
+    return label
+
+
+def shared_texts():
+    """Families at similarities around 0.8, texts that share a passage many times, and empty ones."""
+    r, texts = random.Random(8), []
+    for k in range(40):
+        base = [f"w{k}x{i}" for i in range(204)]
+        at = r.randrange(14, 34)  # changed words at the end: at 23 of 200 shingles the pair is just at 0.8
+        texts += [" ".join(base), " ".join(base[: 204 - at] + [f"c{k}y{i}" for i in range(at)])]
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts += [" ".join([passage] * 60 + [f"own{k}z{i}" for i in range(60)]) for k in range(3)]
+    return texts + ["", " ", "one", "one", "two words"]
+
+
+@pytest.mark.parametrize("few", [simhash.FEW, 0])
+def test_op4_sets_are_compared_exactly(monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = [*shared_texts()]
+    for _ in range(60):
+        w = words[:]
+        for i in r.sample(range(60), 2):
+            w[i] = f"v{r.randrange(6)}"
+        texts.append(" ".join(w))
+    r.shuffle(texts)
+    label = list(range(len(texts)))
+    for i, j in simhash.set_links([simhash.shingles(t, simhash.FIVE_WORDS) for t in texts]):
+        assert label[i] != label[j]
+        label = [label[i] if x == label[j] else x for x in label]
+    want = joined(word_sets(texts))
+    assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
+
+
+@pytest.mark.parametrize("cell", [simhash.SET_CELL, 1])
+def test_op4_stage_keeps_what_is_under_the_threshold(spark, monkeypatch, cell):
+    assert simhash.FIVE_WORDS.recall(0.8) > 0.999 and simhash.FIVE_WORDS.accepted(0.8) > 0.9999
+    monkeypatch.setattr(simhash.verified_groups, "__defaults__", (simhash.FIVE_WORDS, cell))
+    texts = shared_texts()
+    label = joined(word_sets(texts))
+    left = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == {label.index(x) for x in label}
+
+
 def test_op5_scores(docs, data, empty):
     got = lbl_lm.score_documents(docs, classes=16, head=30).collect()
     words = lambda t: (t or "").encode().lower().split() + [b""]
