@@ -187,7 +187,7 @@ class ToxicCrf:
     def _emission(self, word: bytes) -> float:
         if not self.plain:
             self.plain = self.weights.tolist()
-        w = [self.plain[i] for i in slots(word)] if len(word) < 200 else []
+        w = [self.plain[i] for i in slots(word)]
         e = self.bias + sum(w) if any(w) else self.unseen
         if len(word) < 40:
             if len(self.known) >= CACHE_WORDS:
