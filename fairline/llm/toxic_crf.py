@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairline.llm.common import fresh, texts
+from fairline.session import cut_lineage
 
 #: labelled documents of each class that the fit reads, and how long they may be
 SAMPLE, SAMPLE_CHARS = {1: 1500, 0: 2500}, 200_000
@@ -293,15 +294,20 @@ def fit(rows: list[str], toxic: list[int], shares: dict[int, float]) -> ToxicCrf
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample: dict[int, int] = SAMPLE) -> ToxicCrf:
-    """Fit on labelled documents outside ``fold``; at most ``sample`` rows of each class reach the driver."""
+    """Fit on labelled documents outside ``fold``; at most ``sample`` rows of each class reach the driver.
+
+    Texts of more than ``SAMPLE_CHARS`` characters are left to others of their class.
+    """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out("doc_id", folds, fold))
     shares = {r[0]: float(r[1]) for r in known.groupBy("toxic").count().collect() if r[0] in (0, 1)}
+    readable = docs.filter(F.length("text") <= SAMPLE_CHARS)
+    known = cut_lineage(known.join(readable.select("doc_id"), "doc_id", "left_semi"), "labelled")
     picked = None
     for label, n in sample.items():
         some = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id")
+    rows = readable.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     rows = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").collect()  # at most sum(sample) rows
     return fit([r[0] for r in rows], [r[1] for r in rows], shares)
 
