@@ -5,8 +5,9 @@ each is follows from their agreement: expectation-maximisation over the counts o
 vote patterns, which all documents enter (at most 3^m patterns, however many
 documents).  The posterior of a pattern labels its documents.  A linear model
 over hashed words and word shapes is then fitted to posteriors, on a bounded
-sample of documents (``SAMPLE`` rows, spread over the patterns), and scores
-every whole text; the final score joins both.
+sample of rows (``SAMPLE``, even over all rows by a hash, not stratified: frequent
+patterns and copies weigh as much as they occur, rare patterns have few rows or
+none), and scores every whole text; the final score joins both.
 
 Nulls count as empty texts, on which only the length labeller votes.  Repeated
 rows give repeated rows and count each in the statistics.  Empty tables give no
@@ -195,7 +196,7 @@ class WeakQuality:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> WeakQuality:
-    """Vote patterns of all documents, then the linear model on at most ``sample`` of them, as many from each pattern as go."""
+    """Vote patterns of all documents, then the linear model on at most ``sample`` of them, even over all rows by a hash."""
     counts = {r[0]: r[1] for r in with_patterns(docs).groupBy("pattern").count().collect()}  # at most 3^m rows
     posterior, rates = posteriors(counts)
     share = min(1.0, 4 * sample / max(sum(counts.values()), 1))
