@@ -254,12 +254,12 @@ def signatures(docs: DataFrame, spec: Spec) -> DataFrame:
     return docs.select("doc_id", "text", "key").mapInArrow(run, f"doc_id {kinds[0]}, key {kinds[1]}, fp binary, sig binary")
 
 
-def set_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def set_links(sets: list[np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs at a Jaccard similarity of 0.8 or more that keep all components of such pairs.
 
-    A pair is left out only if verified links join it already, if its sizes are
-    too far apart, or if none of the rarest shingles is common, of which a pair at
-    0.8 must share one.
+    A pair is left out only if verified links join it already (``label`` has groups
+    known before), if its sizes are too far apart, or if none of the rarest shingles
+    is common, of which a pair at 0.8 must share one.
     """
     n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
     _, codes, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -271,7 +271,8 @@ def set_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     leads = np.flatnonzero(np.arange(len(codes)) - starts[row] < rare[row])
     leads = leads[np.argsort(codes[leads], kind="stable")]
     lead_codes, lead_rows = codes[leads], row[leads]
-    mark, label, out = np.zeros(len(often), bool), np.arange(n), []
+    mark, out = np.zeros(len(often), bool), []
+    label = np.arange(n) if label is None else label.copy()
 
     def spans(first, last):
         size = last - first
