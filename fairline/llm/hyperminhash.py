@@ -113,19 +113,22 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-@functools.lru_cache(maxsize=64)
-def chance(log_size: int) -> float:
-    """Chance that registers of two unrelated sets of 2^log_size shingles agree."""
-    load = 2.0**log_size / BUCKETS
+@functools.lru_cache(maxsize=1)
+def chances() -> np.ndarray:
+    """Chance that registers of two unrelated sets of 2^0, 2^1, ... shingles agree."""
     zeros = np.arange(_KEY_BITS - 4)[:, None]
     edges = 0.5 ** (zeros + 1) * (1 + np.arange((1 << MANTISSA) + 1) / (1 << MANTISSA))
-    cells = np.exp(-load * edges[:, :-1]) - np.exp(-load * edges[:, 1:])
-    return float((cells**2).sum() / max(cells.sum(), 1e-300) ** 2)
+
+    def of(load: float) -> float:
+        cells = np.exp(-load * edges[:, :-1]) - np.exp(-load * edges[:, 1:])
+        return float((cells**2).sum() / cells.sum() ** 2)
+
+    return np.array([of(2.0**k / BUCKETS) for k in range(48)])
 
 
 def estimated(agreeing: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Similarity of sets of about ``size`` shingles from the number of agreeing registers, less those that agree by chance."""
-    by_chance = np.array([chance(k) for k in range(65)])[np.ceil(np.log2(np.maximum(size, 1))).astype(int)]
+    by_chance = chances()[np.ceil(np.log2(np.maximum(size, 1))).astype(int)]
     return (agreeing / BUCKETS - by_chance) / (1 - by_chance)
 
 
