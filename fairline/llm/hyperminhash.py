@@ -11,8 +11,7 @@ Bands of registers are keys under which sets meet.  Inside a key, pairs of fitti
 sizes whose estimated similarity, corrected for registers that agree by chance,
 is not far below the threshold become candidates.  Components of candidates are then
 decided by their exact sets of shingles: documents are linked by verified pairs
-only.  Equal sets are one node, whatever their number.  Bands are searched in two
-rounds, and the second skips keys whose sets are already together.
+only.  Equal sets are one node, whatever their number.
 
 A pair at the threshold shares no band with a chance of 5e-8 (``missed``), which is
 the only way to lose a link.  Keys of more than ``CELL`` sets are cut into
@@ -34,7 +33,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline.llm.common import in_pieces, row_key, texts
@@ -43,8 +42,8 @@ from fairline.llm.simhash import set_links
 from fairline.session import cut_lineage
 
 SHINGLE, THRESHOLD = 2, (80, 100)
-#: buckets (a power of two), registers of a band, and bands of the first round
-BUCKETS, BAND, FIRST_BANDS = 128, 4, 8
+#: buckets (a power of two), and registers of a band
+BUCKETS, BAND = 128, 4
 #: bits of a register behind its leading zeros
 MANTISSA = 10
 #: standard deviations that an estimate may lie below the threshold
@@ -54,7 +53,7 @@ CELL, CHUNK = 2048, 50_000
 #: groups of a key up to this size are compared all at once
 SMALL = 12
 #: shingles, and sets, of a component's part
-PART_SHINGLES, PART_SETS = 1_000_000, 2048
+PART_SHINGLES, PART_SETS = 2_000_000, 8192
 
 _KEY_BITS = 64 - int(math.log2(BUCKETS))
 
@@ -174,7 +173,7 @@ def banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "regs").mapInArrow(run, "band int, value long, node long")
 
 
-def _forest(group: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _forest(group: np.ndarray, node: np.ndarray, n: np.ndarray, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs that connect, in each group of rows, what all its candidate pairs connect."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
@@ -186,20 +185,18 @@ def _forest(group: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarra
         for i in range(size - 1):
             for j in range(i + 1, size):
                 a, b = first + i, first + j
-                a, b = a[label[a] != label[b]], b[label[a] != label[b]]
                 good = passing((regs[a] == regs[b]).sum(axis=1), n[a], n[b])
                 out_a.append(node[a[good]])
                 out_b.append(node[b[good]])
     for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        rows = np.arange(at, at + size)
-        mark = np.unique(label[rows], return_inverse=True)[1]
+        mark = np.arange(size)
         for i in range(size - 1):
             others = np.flatnonzero(mark[i + 1 :] != mark[i]) + i + 1
             if not len(others):
                 if (mark == mark[i]).all():
                     break
                 continue
-            js = rows[others]
+            js = at + others
             others = others[passing((regs[js] == regs[at + i]).sum(axis=1), n[js], np.full(len(js), n[at + i]))]
             for j in others.tolist():
                 if mark[j] != mark[i]:
@@ -210,25 +207,27 @@ def _forest(group: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarra
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
-def candidates(nodes: DataFrame, bands: DataFrame, known: DataFrame | None = None, cell: int = CELL) -> DataFrame:
-    """Edges (a, b) that connect all candidate pairs meeting in ``bands``, beyond ``known`` components (node, root)."""
-    labels = nodes.select("node", F.col("node").alias("label")) if known is None else nodes.select("node").join(known, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
-    met = bands.join(labels, "node")
-    mixed_keys = met.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    mixed_keys = mixed_keys.select("band", "value", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
-    rows = met.join(mixed_keys, ["band", "value"]).select("band", "value", F.explode(cells).alias("cell"), "node", "label")
-    rows = rows.join(nodes.select("node", "n_shingles", "regs"), "node")
+def meeting(nodes: DataFrame) -> DataFrame:
+    """band, value, node and n: bands whose value n sets have, two at least.  One shuffle of narrow rows."""
+    w = Window.partitionBy("band", "value")
+    return banded(nodes).withColumn("n", F.count(F.lit(1)).over(w)).filter("n > 1")
+
+
+def candidates(nodes: DataFrame, met: DataFrame, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) that connect all candidate pairs among nodes that share a value in ``met``."""
+    parts = F.ceil(F.col("n") / cell).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(part, j) * parts + F.greatest(part, j))
+    rows = met.select("band", "value", F.explode(cells).alias("cell"), "node").join(nodes.select("node", "n_shingles", "regs"), "node")
     order = ["band", "value", "cell"]
-    dealt = rows.select(*order, "node", "label", "n_shingles", "regs").repartition(*order).sortWithinPartitions(*order)
+    dealt = rows.select(*order, "node", "n_shingles", "regs").repartition(*order).sortWithinPartitions(*order)
 
     def search(table: pa.Table):
         table = table.combine_chunks()
         keys = [table.column(c).to_numpy() for c in order]
         group = np.cumsum(np.r_[False, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(table.num_rows, -1)
-        a, b = _forest(group, *(table.column(c).to_numpy() for c in ("node", "label", "n_shingles")), regs)
+        a, b = _forest(group, *(table.column(c).to_numpy() for c in ("node", "n_shingles")), regs)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
@@ -251,32 +250,50 @@ def candidates(nodes: DataFrame, bands: DataFrame, known: DataFrame | None = Non
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _exact_edges(cells: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all verified pairs of each cell; ``cells`` has key, node, root, cell and label."""
+def _lowest(nodes: list[int], links: list[tuple[int, int]]) -> list[int]:
+    """Smallest node of each row's component under links between rows."""
+    top = list(range(len(nodes)))
+
+    def find(i):
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for i, j in links:
+        i, j = find(i), find(j)
+        if nodes[i] > nodes[j]:
+            i, j = j, i
+        top[j] = i
+    return [nodes[find(i)] for i in range(len(nodes))]
+
+
+def _exact_stars(cells: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b and whole: every node with the smallest one that verified pairs of its cell join it to; ``cells`` has key, node, root, cell, label and whole."""
     read = docs.select("key", "text").join(cells, "key").dropDuplicates(["node", "root", "cell"])
-    dealt = read.select("root", "cell", "node", "label", "text").repartition("root", "cell").sortWithinPartitions("root", "cell")
+    dealt = read.select("root", "cell", "node", "label", "whole", "text").repartition("root", "cell").sortWithinPartitions("root", "cell")
 
-    def edges(nodes, labels, sets):
-        got = np.array(set_links(sets, np.unique(labels, return_inverse=True)[1]), np.int64).reshape(-1, 2)
-        at = np.array(nodes, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(at[got[:, 0]]), pa.array(at[got[:, 1]])], names=["a", "b"])
+    def stars(nodes, labels, sets, whole):
+        low = _lowest(nodes, set_links(sets, np.unique(labels, return_inverse=True)[1]))
+        pairs = np.array([(a, b) for a, b in zip(nodes, low) if a != b], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array([whole] * len(pairs), pa.bool_())], names=["a", "b", "whole"])
 
     def run(batches):
-        here, nodes, labels, sets = None, [], [], []
+        here, nodes, labels, sets, of_all = None, [], [], [], None
         for batch in batches:
             for part in in_pieces(batch):
-                for root, cell, node, label, text in zip(*(c.to_pylist() for c in part.columns)):
+                for root, cell, node, label, whole, text in zip(*(c.to_pylist() for c in part.columns)):
                     if (root, cell) != here:
                         if len(sets) > 1:
-                            yield edges(nodes, labels, sets)
-                        here, nodes, labels, sets = (root, cell), [], [], []
+                            yield stars(nodes, labels, sets, of_all)
+                        here, nodes, labels, sets, of_all = (root, cell), [], [], [], whole
                     nodes.append(node)
                     labels.append(label)
                     sets.append(shingle_set(text or ""))
         if len(sets) > 1:
-            yield edges(nodes, labels, sets)
+            yield stars(nodes, labels, sets, of_all)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, whole boolean")
 
 
 def verified(nodes: DataFrame, roots: DataFrame, docs: DataFrame, shingles: int = PART_SHINGLES, sets: int = PART_SETS) -> DataFrame:
@@ -288,16 +305,22 @@ def verified(nodes: DataFrame, roots: DataFrame, docs: DataFrame, shingles: int
     held = cut_lineage(held, "candidates")
     # the root of a large component is the pivot that all its parts see
     everywhere = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    first = cut_lineage(_exact_edges(held.select("key", "node", "root", F.explode(everywhere).alias("cell"), F.col("node").alias("label")), docs), "links")
+    cells = held.select("key", "node", "root", F.explode(everywhere).alias("cell"), F.col("node").alias("label"), (F.col("parts") == 1).alias("whole"))
+    first = cut_lineage(_exact_stars(cells, docs), "stars")
+    done = first.filter("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
     large = held.filter("parts > 1")
     if large.isEmpty():
-        return components(first)
-    known = cut_lineage(components(first), "members").withColumnRenamed("root", "label")
-    large = large.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = large.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("root")
-    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("part", j) * F.col("parts") + F.greatest("part", j))
-    cells = large.join(open_, "root").select("key", "node", "root", F.explode(met).alias("cell"), "label")
-    return components(first.unionByName(_exact_edges(cells, docs)))
+        return done
+    some = first.filter("not whole").select("a", "b")
+    known = cut_lineage(components(some), "members")
+    labelled = large.join(known.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = labelled.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("root")
+    open_ = cut_lineage(open_, "open")
+    if not open_.isEmpty():
+        met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("part", j) * F.col("parts") + F.greatest("part", j))
+        cells = labelled.join(open_, "root").select("key", "node", "root", F.explode(met).alias("cell"), "label", F.lit(False).alias("whole"))
+        known = components(some.unionByName(_exact_stars(cells, docs).select("a", "b")))
+    return done.unionByName(known)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -306,14 +329,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = cut_lineage(signatures(keyed), "registers")
     nodes = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("lead"), F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bands = cut_lineage(banded(nodes), "bands")
-    edges = cut_lineage(candidates(nodes, bands.filter(F.col("band") < FIRST_BANDS)), "edges")
-    known = cut_lineage(components(edges), "near")
-    more = cut_lineage(candidates(nodes, bands.filter(F.col("band") >= FIRST_BANDS), known), "more-edges")
-    roots = cut_lineage(components(edges.unionByName(more)), "near")
+    roots = cut_lineage(components(candidates(nodes, meeting(nodes))), "near")
     members = cut_lineage(verified(nodes, roots, keyed), "members")
     led = nodes.select("sig", "lead", "node").join(members, "node", "left").select("sig", "lead", F.coalesce("root", "node").alias("root"))
     led = cut_lineage(led, "leads")
     found = led.join(led.groupBy("root").agg(F.min("lead").alias("component_id")), "root").select("sig", "component_id")
     alone = rows.filter("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.join(found, "sig").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return rows.select("sig", "doc_id", "n_shingles").join(found, "sig").select("doc_id", "n_shingles", "component_id").unionByName(alone)

@@ -281,7 +281,7 @@ def test_op13_families_in_small_cells(spark, monkeypatch):
     want = brute_components(list(range(len(texts))), [two_words(t) for t in texts])
     got = lambda: [r.component_id for r in hyperminhash.near_groups(docs).orderBy("doc_id").collect()]
     assert got() == want
-    monkeypatch.setattr(hyperminhash.candidates, "__defaults__", (None, 10))
+    monkeypatch.setattr(hyperminhash.candidates, "__defaults__", (10,))
     monkeypatch.setattr(hyperminhash.verified, "__defaults__", (1500, 10))
     assert got() == want
     assert 5 < len(set(want)) < len(texts)
