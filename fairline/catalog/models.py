@@ -15,7 +15,7 @@ from fairline.catalog.splits import assignment, folds
 from fairline.operators import dataset, draft, features, matchups, reports, validation
 from fairline.operators import modelling as M
 from fairline.session import scratch_path
-from fairline.sources.store import load_model, save_model
+from fairline.sources.store import check_columns, load_bundle, save_bundle
 
 REGISTRY: Registry = {}
 
@@ -110,13 +110,22 @@ def _parts(spark, sf):
     ds = dataset_rows(spark, sf)
     num, cat = dataset.model_columns(ds)
     dev, holdout = validation.split_rows(ds, assignment(spark, sf))
-    return stage(spark, sf, "dev", lambda: dev), stage(spark, sf, "holdout", lambda: holdout), num, cat
+    ordered = lambda df: df.repartitionByRange("date").sortWithinPartitions("date")  # noqa: E731 - a fold's range reads few row groups
+    return stage(spark, sf, "dev", lambda: ordered(dev)), stage(spark, sf, "holdout", lambda: holdout), num, cat
+
+
+_LEDGERS: dict[tuple[str, str, str], str] = {}
+
+
+def _ledger(spark, sf, name):
+    """Folder of finished fits; the same for every call of one application."""
+    return _LEDGERS.setdefault((spark.sparkContext.applicationId, sf, name), scratch_path(spark, f"ledger-{name}"))
 
 
 def _cv(spark, sf):
     def build():
         dev, _, num, cat = _parts(spark, sf)
-        return M.run_cv(dev, folds(spark, sf), num, cat, ALL)
+        return M.run_cv(dev, folds(spark, sf), num, cat, ALL, ledger=_ledger(spark, sf, "cv"))
 
     return stage(spark, sf, "cv", build)
 
@@ -134,7 +143,7 @@ def over_time(spark, sf):
 @register(REGISTRY, "M7_random_search")
 def search(spark, sf):
     dev, _, num, cat = _parts(spark, sf)
-    return M.random_search(dev, validation.last_folds(folds(spark, sf)), num, cat, ALL)
+    return M.random_search(dev, validation.last_folds(folds(spark, sf)), num, cat, ALL, ledger=_ledger(spark, sf, "search"))
 
 
 def _holdout(spark, sf):
@@ -164,12 +173,8 @@ def ablation(spark, sf):
 @register(REGISTRY, "M13_feature_set_comparison")
 def comparison(spark, sf):
     dev, _, num, cat = _parts(spark, sf)
-    last, out = validation.last_folds(folds(spark, sf), COMPARED_FOLDS), None
-    for name, left_out in COMPARED.items():
-        plain = [c for c in num if not left_out(c)]
-        part = M.compare_feature_sets(dev, last, cat, (f"without_{name}", plain), (f"with_{name}", num))
-        out = part if out is None else out.unionByName(part)
-    return out
+    pairs = [((f"without_{name}", [c for c in num if not out(c)]), (f"with_{name}", num)) for name, out in COMPARED.items()]
+    return M.compare_feature_sets(dev, validation.last_folds(folds(spark, sf), COMPARED_FOLDS), cat, pairs)
 
 
 @register(REGISTRY, "T5_importances")
@@ -186,14 +191,15 @@ def importances(spark, sf):
 
 @register(REGISTRY, "S9_M14_saved_model_matchups")
 def saved_model(spark, sf):
-    """A model is saved, found again by preference and used on pairs of teams."""
+    """Two models are saved with their columns, the preferred one is found again and used on pairs of teams."""
     dev, _, num, cat = _parts(spark, sf)
-    root = scratch_path(spark, "models")
-    for name in ALL:
-        save_model(M.fit_model(name, dev, num, cat), root, name)
-    _, model = load_model(spark, root)
-    rows = M.with_label(matchups.matchup_rows(pairs(spark, sf), feature_rows(spark, sf)), num, cat)
-    return matchups.predict_matchups(rows, model, ["pair"])
+    root, rows = scratch_path(spark, "models"), dev.count()
+    for name in ("ridge_lr", "gbt"):
+        save_bundle(spark, M.fit_model(name, dev.coalesce(M.tasks(rows)), num, cat, rows=rows), root, name, num, cat, rows=rows)
+    manifest, model = load_bundle(spark, root)
+    found = matchups.matchup_rows(pairs(spark, sf), feature_rows(spark, sf))
+    check_columns(manifest, found)
+    return matchups.predict_matchups(M.with_label(found, manifest["numbers"], manifest["categories"]), model, ["pair"])
 
 
 @register(REGISTRY, "M15_draft_model")

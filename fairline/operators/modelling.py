@@ -1,17 +1,21 @@
 """Classifiers on the modelling dataset: validation, search, holdout, reports.
 
-Fitting is distributed by Spark ML.  What runs on the driver is the small loop
-over folds and settings; folds run side by side in a few threads.
+Tree models are Spark ML's, fitted fold by fold in a few threads.  Linear models of
+all folds and settings are fitted together in shared passes (``linear``); a single
+linear model that is kept or explained is Spark ML's pipeline.
 """
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 import itertools
 import json
 import math
 import random
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -21,6 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairline import config as C
+from fairline.operators import linear
+from fairline.session import cut_lineage
+from fairline.sources.store import StageStore
 
 METRICS = ("log_loss", "brier", "accuracy")
 #: fixed values: predicting one half for everything
@@ -67,8 +74,9 @@ def make_estimator(name: str, rows: int, params: dict | None = None):
 
 
 def with_label(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> DataFrame:
-    """Nulls to 0 (numbers) or an empty category, and the label as a double."""
-    df = df.fillna(0.0, subset=list(num)).fillna("", subset=list(cat)) if num or cat else df
+    """Nulls to 0 (numbers) or a category of their own, and the label as a double."""
+    df = df.fillna(0.0, subset=list(num)) if num else df
+    df = df.withColumns({c: linear.category(c) for c in cat}) if cat else df
     return df.withColumn("label", F.col(C.TARGET).cast("double")) if C.TARGET in df.columns else df
 
 
@@ -130,24 +138,71 @@ def _between(df: DataFrame, bound: dict, role: str) -> DataFrame:
     return df.filter((F.col("date") >= bound[f"{role}_lo"]) & (F.col("date") <= bound[f"{role}_hi"]))
 
 
-def _fold_scores(df: DataFrame, bound: dict, num, cat, jobs: Sequence[tuple[str, str, dict]]) -> list[tuple]:
+#: rows of a fold that one task fits on
+TASK_ROWS = 50_000
+LINEAR = tuple(m for m, p in DEFAULTS.items() if "strength" in p)
+
+
+def tasks(rows: int) -> int:
+    """Tasks that fit on so many rows."""
+    return max(1, math.ceil(rows / TASK_ROWS))
+
+
+def _micros(instant: datetime) -> int:
+    """Microseconds of an instant as the driver got it from Spark (naive: in the session's UTC)."""
+    return (instant.replace(tzinfo=instant.tzinfo or timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
+def linear_fits(bounds: list[dict], jobs: Sequence[tuple[str, str, dict]], columns: dict[str, frozenset[str]] | None = None) -> list[linear.Fit]:
+    """One fit per fold and (label, model, params)."""
+    out = []
+    for b in bounds:
+        for label, name, params in jobs:
+            p = {**DEFAULTS[name], **params}
+            out.append(linear.Fit(label, b["fold"], *(_micros(b[f"{role}_{end}"]) for role in ("train", "val") for end in ("lo", "hi")),
+                                  strength=p["strength"], l1_ratio=p["l1_ratio"], columns=(columns or {}).get(label)))
+    return out
+
+
+def _done(ledger: str | None, spark, fold: int, label: str) -> tuple[str | None, bool]:
+    """Where the ledger keeps a fit's row, and whether it is there."""
+    if ledger is None:
+        return None, False
+    path = f"{ledger}/{hashlib.sha256(f'{fold}|{label}'.encode()).hexdigest()}"
+    return path, StageStore(spark, ledger).load(path.rsplit("/", 1)[1]) is not None
+
+
+def _fold_scores(df: DataFrame, bound: dict, num, cat, jobs: Sequence[tuple[str, str, dict]], ledger: str | None = None) -> list[tuple]:
     """(label, fold, metrics...) for each (label, model, params) on one fold.
 
-    Preprocessing is fitted once and its output kept for all settings.
+    Preprocessing is fitted once and its output kept for all settings.  With a
+    ledger, a fit's row is written as it ends, and a row that is there is read
+    instead of fitted again, so a run that was cut off goes on where it was.
     """
-    train, val = (with_label(_between(df, bound, r), num, cat) for r in ("train", "val"))
+    spark, out, left = df.sparkSession, [], []
+    for job in jobs:
+        path, known = _done(ledger, spark, bound["fold"], job[0])
+        if known:
+            out.append(tuple(spark.read.schema(_SCORES).parquet(path).first()))
+        else:
+            left.append((*job, path))
+    if not left:
+        return out
+    train, val = (with_label(_between(df, bound, r), num, cat).coalesce(tasks(bound[f"{r}_rows"])) for r in ("train", "val"))
     pre = Pipeline(stages=preprocess_stages(num, cat)).fit(train)
     x_train = pre.transform(train).select("features", "label").persist()
     x_val = pre.transform(val).select("features", "label").persist()
-    out = []
     try:
-        for label, name, params in jobs:
+        for label, name, params, path in left:
             try:
                 model = make_estimator(name, bound["train_rows"], params).fit(x_train)
                 scored = model.transform(x_val).withColumn("p", vector_to_array("probability")[1])
-                out.append((label, bound["fold"], *binary_metrics(scored, y="label").first(), None))
+                row = (label, bound["fold"], *binary_metrics(scored, y="label").first(), None)
             except Exception as exc:  # noqa: BLE001 - a failing fit is recorded, the others go on
-                out.append((label, bound["fold"], None, None, None, f"{type(exc).__name__}: {exc}"[:500]))
+                row = (label, bound["fold"], None, None, None, f"{type(exc).__name__}: {exc}"[:500])
+            if path and row[-1] is None:
+                spark.createDataFrame([row], _SCORES).coalesce(1).write.mode("overwrite").parquet(path)
+            out.append(row)
     finally:
         x_train.unpersist()
         x_val.unpersist()
@@ -157,20 +212,36 @@ def _fold_scores(df: DataFrame, bound: dict, num, cat, jobs: Sequence[tuple[str,
 _SCORES = "model string, fold int, log_loss double, brier double, accuracy double, error string"
 
 
-def _over_folds(df, folds, num, cat, jobs, threads) -> DataFrame:
-    bounds = fold_bounds(folds)
+def _over_folds(df, folds, num, cat, jobs, threads, ledger=None) -> DataFrame:
+    """Rows of all jobs on all folds: linear models share passes over the table, each tree model is fitted on its fold."""
+    bounds, spark = fold_bounds(folds), df.sparkSession
+    straight = [j for j in jobs if j[1] in LINEAR]
+    others = [(b, [j]) for j in jobs if j[1] not in LINEAR for b in bounds]
+    # each model of a fold is a unit of its own, the dearest first
     with ThreadPoolExecutor(threads) as pool:
-        parts = pool.map(lambda b: _fold_scores(df, b, num, cat, jobs), bounds)
+        parts = pool.map(lambda x: _fold_scores(df, x[0], num, cat, x[1], ledger), others)
         rows = [r for part in parts for r in part]
-    return df.sparkSession.createDataFrame(rows, _SCORES)
+    out = spark.createDataFrame(rows, _SCORES)
+    if not straight:
+        return out
+    return linear_scores(df, bounds, num, cat, straight).unionByName(out)
+
+
+def linear_scores(df: DataFrame, bounds: list[dict], num, cat, jobs, columns: dict[str, frozenset[str]] | None = None) -> DataFrame:
+    """Fold scores of linear models, all folds and jobs in shared passes."""
+    made = linear.design(df, num, cat)
+    made = dataclasses.replace(made, table=cut_lineage(made.table, "design"))
+    fits = linear.fit_many(made, linear_fits(bounds, jobs, columns))
+    return linear.score_many(made, fits).withColumn("error", F.lit(None).cast("string"))
 
 
 def run_cv(
-    df: DataFrame, folds: DataFrame, num, cat, models: Sequence[str], params: dict[str, dict] | None = None, threads: int = 3
+    df: DataFrame, folds: DataFrame, num, cat, models: Sequence[str], params: dict[str, dict] | None = None, threads: int = 8,
+    ledger: str | None = None,
 ) -> DataFrame:
-    """Metrics per model and fold.  A fit that fails has no metrics, but its ``error``."""
+    """Metrics per model and fold.  A fit that fails has no metrics, but its ``error``; ``ledger`` is a folder that keeps finished tree fits."""
     jobs = [(m, m, (params or {}).get(m, {})) for m in models]
-    return _over_folds(df, folds, num, cat, jobs, threads)
+    return _over_folds(df, folds, num, cat, jobs, threads, ledger)
 
 
 def summarise_cv(scores: DataFrame) -> DataFrame:
@@ -208,7 +279,7 @@ def sample_settings(grid: dict[str, list], n: int, rng: random.Random) -> list[d
 
 def random_search(
     df: DataFrame, folds: DataFrame, num, cat, models: Sequence[str], n_iter: int = C.TUNE_ITERATIONS,
-    grids: dict[str, dict[str, list]] | None = None, threads: int = 3,
+    grids: dict[str, dict[str, list]] | None = None, threads: int = 8, ledger: str | None = None,
 ) -> DataFrame:
     """Mean loss per model and setting (JSON); ``best`` marks one setting per model.
 
@@ -222,7 +293,7 @@ def random_search(
         for p in sample_settings(grid, n_iter, rng) if grid else [{}]:
             settings[f"{m}:{json.dumps(p, sort_keys=True)}"] = (m, p)
     jobs = [(label, m, p) for label, (m, p) in settings.items()]
-    scores = _over_folds(df, folds, num, cat, jobs, threads)
+    scores = _over_folds(df, folds, num, cat, jobs, threads, ledger)
     names = df.sparkSession.createDataFrame(
         [(label, m, json.dumps(p, sort_keys=True)) for label, (m, p) in settings.items()], "label string, name string, params string"
     )
@@ -244,12 +315,23 @@ def best_params(found: DataFrame) -> dict[str, dict]:
 
 def holdout_predictions(dev: DataFrame, holdout: DataFrame, num, cat, models, params=None) -> DataFrame:
     """Long table model, gameid, side, p, y; each model refitted on all of ``dev``."""
-    rows, out = dev.count(), None
-    for m in models:
-        fitted = fit_model(m, dev, num, cat, (params or {}).get(m), rows)
-        part = predict(fitted, holdout, num, cat).select(
-            F.lit(m).alias("model"), "gameid", "side", "p", F.col(C.TARGET).alias("y")
-        )
+    straight, keys = [m for m in models if m in LINEAR], ["gameid", "side"]
+    span = dev.agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("train_lo"), F.max("date").alias("train_hi")).first().asDict()
+    rows, out = span["n"], None
+
+    def fitted(m):
+        return m, fit_model(m, dev.coalesce(tasks(rows)), num, cat, (params or {}).get(m), rows)
+
+    with ThreadPoolExecutor(8) as pool:
+        for m, model in pool.map(fitted, [m for m in models if m not in LINEAR]):
+            part = predict(model, holdout, num, cat).select(F.lit(m).alias("model"), *keys, "p", F.col(C.TARGET).cast("double").alias("y"))
+            out = part if out is None else out.unionByName(part)
+    if straight:
+        made = linear.design(dev, num, cat)
+        made = dataclasses.replace(made, table=cut_lineage(made.table, "design"))
+        bound = {"fold": 0, "val_lo": span["train_lo"], "val_hi": span["train_hi"], **span}
+        fits = linear.fit_many(made, linear_fits([bound], [(m, m, (params or {}).get(m, {})) for m in straight]))
+        part = linear.predict_many(linear.design(holdout, num, cat, keys, made), fits, keys)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -339,21 +421,34 @@ def columns_in(groups: Sequence[str], num: Sequence[str]) -> list[str]:
     return [c for c in num if any(p in c for p in parts)]
 
 
+def set_scores(df: DataFrame, folds: DataFrame, cat, model: str, sets: dict[str, Sequence[str]], params: dict | None = None, threads: int = 8) -> DataFrame:
+    """Fold scores per column set: ablation, n_features, fold, metrics.
+
+    Sets with the same columns are fitted once.  A linear model takes every set
+    as a part of one table, in shared passes.
+    """
+    distinct: dict[frozenset[str], str] = {}
+    for cols in sets.values():
+        distinct.setdefault(frozenset(cols), f"set{len(distinct)}")
+    if model in LINEAR:
+        num = sorted(set().union(*sets.values()))
+        scores = linear_scores(df, fold_bounds(folds), num, cat, [(name, model, params or {}) for name in distinct.values()], {n: c for c, n in distinct.items()})
+    else:
+        scores = None
+        for cols, name in distinct.items():
+            part = run_cv(df, folds, sorted(cols), cat, [model], {model: params or {}}, threads).withColumn("model", F.lit(name))
+            scores = part if scores is None else scores.unionByName(part)
+    names = df.sparkSession.createDataFrame([(distinct[frozenset(c)], name, len(c)) for name, c in sets.items()], "model string, ablation string, n_features int")
+    return cut_lineage(scores.join(names, "model").drop("model"), "set-scores")
+
+
 def run_ablation(
     df: DataFrame, folds: DataFrame, num, cat, model: str = "ridge_lr", params: dict | None = None,
-    sets: dict[str, Sequence[str]] | None = None, threads: int = 3,
+    sets: dict[str, Sequence[str]] | None = None, threads: int = 8,
 ) -> DataFrame:
-    """Fold scores per feature set: ablation, n_features, fold, metrics."""
-    out = None
-    for name, groups in (sets or SETS).items():
-        cols = columns_in(groups, num)
-        if not cols:
-            continue
-        part = run_cv(df, folds, cols, cat, [model], {model: params or {}}, threads).withColumns(
-            {"ablation": F.lit(name), "n_features": F.lit(len(cols))}
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Fold scores per feature set; sets without a column are left out."""
+    chosen = {name: columns_in(groups, num) for name, groups in (sets or SETS).items()}
+    return set_scores(df, folds, cat, model, {n: c for n, c in chosen.items() if c}, params, threads)
 
 
 def ablation_table(scores: DataFrame) -> DataFrame:
@@ -363,14 +458,13 @@ def ablation_table(scores: DataFrame) -> DataFrame:
     )
 
 
-def compare_feature_sets(df, folds, cat, a: tuple[str, Sequence[str]], b: tuple[str, Sequence[str]], model="ridge_lr") -> DataFrame:
-    """Two column sets on the same folds: losses and b minus a."""
-    parts = []
-    for label, cols in (a, b):
-        parts.append(run_cv(df, folds, list(cols), cat, [model]).withColumns({"ablation": F.lit(label), "n_features": F.lit(len(cols))}))
-    table = ablation_table(parts[0].unionByName(parts[1]))
-    first = table.select(F.max(F.when(F.col("ablation") == a[0], F.col("mean_logloss")))).scalar()
-    return table.withColumn("delta", F.col("mean_logloss") - first)
+def compare_feature_sets(df, folds, cat, pairs: Sequence[tuple[tuple[str, Sequence[str]], tuple[str, Sequence[str]]]], model="ridge_lr") -> DataFrame:
+    """Pairs of named column sets on the same folds: mean losses, and how far each is above its pair's first."""
+    sets = {name: list(cols) for pair in pairs for name, cols in pair}
+    table = ablation_table(set_scores(df, folds, cat, model, sets))
+    of = df.sparkSession.createDataFrame([(name, a[0]) for a, b in pairs for name in (a[0], b[0])], "ablation string, first string")
+    first = table.select(F.col("ablation").alias("first"), F.col("mean_logloss").alias("base"))
+    return table.join(of, "ablation").join(first, "first").withColumn("delta", F.col("mean_logloss") - F.col("base")).drop("first", "base")
 
 
 def importance_table(model: PipelineModel, scored: DataFrame, num: Sequence[str], top: int | None = 30) -> DataFrame:
