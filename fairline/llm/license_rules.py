@@ -148,6 +148,8 @@ COMMON_WORDS = {"mit", "isc", "vim", "php", "x11", "w3c", "expat", "openssl", "p
 
 SUMMARY = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 TIERS = 6
+PLACE = "struct<first:int,last:int>"
+DETECTION = "struct<first:int,reach:int,order:int,label:string,last:int,weight:double,base:boolean>"
 RULE = "array<struct<label:string,keyword:string,regex:string,priority:int,weight:double,base:boolean>>"
 
 
@@ -172,36 +174,67 @@ def words_of(text: Column) -> Column:
     return F.concat(F.lit(" "), F.btrim(joined), F.lit(" "))
 
 
+#: steps of a fold that collect into one array, so that no long array grows step by step
+BLOCK = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folded(steps: Column, state: Column, move, kind: str) -> Column:
+    """What ``move(state, step)`` -> (state, list of rows of type ``kind``) collects over all steps, in blocks of ``BLOCK``."""
+    none = F.from_json(F.lit("[]"), f"array<{kind}>")
+
+    def step(acc, x):
+        after, rows = move(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], rows).alias("out"))
+
+    def block(acc, b):
+        start = F.struct(acc["state"].alias("state"), none.alias("out"))
+        return _bound(F.aggregate(b, start, step), lambda end: F.struct(
+            end["state"].alias("state"), F.concat(acc["out"], F.array(end["out"])).alias("out")))
+
+    def run(all_steps):
+        firsts = F.filter(F.sequence(F.lit(1), F.size(all_steps) + 1, F.lit(BLOCK)), lambda i: i <= F.size(all_steps))
+        blocks = F.transform(firsts, lambda i: F.slice(all_steps, i, BLOCK))
+        start = F.struct(state.alias("state"), F.from_json(F.lit("[]"), f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(blocks, start, block, lambda acc: acc["out"]))
+
+    return _bound(steps, run)
+
+
 def _places(norm: Column, rule: Column) -> Column:
     """first and last word (exclusive) of each match of a rule's pattern between word borders."""
     regex = F.concat(F.lit(" (?:"), rule["regex"], F.lit(")(?= )"))
     found = F.regexp_extract_all(norm, regex, F.lit(0))
-    between = F.slice(F.split(norm, regex), 1, F.size(found))
-    steps = F.zip_with(between, found, lambda b, f: F.struct(_spaces(b).alias("skip"), _spaces(f).alias("words")))
-    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<first:int,last:int>>").alias("out"))
 
-    def step(acc, x):
-        first = acc["at"] + x["skip"]
-        last = first + x["words"]
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("first"), last.alias("last")))).alias("out"))
+    def places(found):
+        between = F.slice(F.split(norm, regex), 1, F.size(found))
+        steps = F.zip_with(between, found, lambda b, f: F.struct(_spaces(b).alias("skip"), _spaces(f).alias("words")))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+        def move(at, x):
+            first = at + x["skip"]
+            last = first + x["words"]
+            return last, F.array(F.struct(first.alias("first"), last.alias("last")))
+
+        return F.when(F.size(found) > 0, _folded(steps, F.lit(0), move, PLACE)).otherwise(F.from_json(F.lit("[]"), f"array<{PLACE}>"))
+
+    return _bound(found, places)
 
 
 def _resolved(found: Column) -> Column:
     """Detections that no other one contains with as high a priority; ``found`` is sorted by first word, longest and highest first."""
-    start = F.struct(
-        F.transform(F.sequence(F.lit(1), F.lit(TIERS)), lambda _: F.lit(-1)).alias("ends"),
-        F.slice(found, 1, 0).alias("out"),
-    )
 
-    def step(acc, d):
-        ends, p = acc["ends"], -d["order"]
+    def move(ends, d):
+        p = -d["order"]
         inside = F.array_max(F.slice(ends, p, TIERS)) >= d["last"]
         seen = F.transform(ends, lambda e, i: F.when(i + 1 == p, F.greatest(e, d["last"])).otherwise(e))
-        return F.struct(seen.alias("ends"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(d))).alias("out"))
+        return seen, F.when(inside, F.from_json(F.lit("[]"), f"array<{DETECTION}>")).otherwise(F.array(d))
 
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+    start = F.transform(F.sequence(F.lit(1), F.lit(TIERS)), lambda _: F.lit(-1))
+    return F.when(F.size(found) > 0, _folded(found, start, move, DETECTION)).otherwise(found)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -211,8 +244,10 @@ def scan(docs: DataFrame) -> DataFrame:
     smallest and largest start (words from 0).  score is 1 minus the product of
     1 - weight over the detections left.
     """
-    every = F.from_json(F.lit(json.dumps(rules())), RULE)
-    keywords = sorted({r["keyword"] for r in rules()}, key=len)
+    signatures = rules()
+    keywords = sorted({r["keyword"] for r in signatures}, key=len)
+    groups = [{"keyword": k, "rules": [r for r in signatures if r["keyword"] == k]} for k in keywords]
+    every = F.from_json(F.lit(json.dumps(groups)), f"array<struct<keyword:string,rules:{RULE}>>")
     gates = [k for i, k in enumerate(keywords) if not any(x in k for x in keywords[:i])]
     keep = [c for c in docs.columns if c != "text"]
     norm = docs.select(*[F.col(f"`{c}`") for c in keep], words_of(text_or_empty()).alias("_norm"))
@@ -220,8 +255,10 @@ def scan(docs: DataFrame) -> DataFrame:
     for k in gates[1:]:
         any_gate = any_gate | F.col("_norm").contains(k)
 
-    gated = F.when(any_gate, F.filter(every, lambda r: F.contains(F.col("_norm"), r["keyword"])))
-    hits = norm.withColumn("_rules", F.coalesce(gated, F.slice(every, 1, 0)))
+    # every keyword is looked for once, then its rules are run
+    named = F.when(any_gate, F.filter(every, lambda g: F.contains(F.col("_norm"), g["keyword"])))
+    gated = F.flatten(F.transform(named, lambda g: g["rules"]))
+    hits = norm.withColumn("_rules", F.coalesce(gated, F.from_json(F.lit("[]"), RULE)))
 
     def detections(rule):
         return F.transform(_places(F.col("_norm"), rule), lambda x: F.struct(
