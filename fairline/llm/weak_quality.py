@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairline.llm.common import in_pieces, texts
+from fairline.llm.common import in_pieces, text_or_empty, texts
 from fairline.llm.toxic_crf import sigmoid
 
 #: documents that the linear model is fitted on, and how long they may be
@@ -118,10 +118,13 @@ def posteriors(counts: Mapping[int, int], rounds: int = 100) -> tuple[dict[int,
     return dict(zip(codes, q.tolist())), rates
 
 
+KINDS = bytes(ord("0") if 48 <= b <= 57 else ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else b for b in range(256))
+_runs = re.compile(rb"(.)\1{2,}", re.S)
+
+
 def shape(word: bytes) -> bytes:
     """Kinds of characters in a word, runs cut to two."""
-    kinds = re.sub(rb"[A-Z]", b"A", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[0-9]", b"0", word)))
-    return re.sub(rb"(.)\1+", rb"\1\1", kinds, flags=re.S)[:12]
+    return _runs.sub(rb"\1\1", word.translate(KINDS))[:12]
 
 
 def slots(word: bytes) -> tuple[int, int]:
@@ -135,15 +138,25 @@ class Scorer:
     weights: np.ndarray
     bias: float
     known: dict[bytes, float] = field(default_factory=dict, repr=False)
+    plain: list[float] = field(default_factory=list, repr=False)  # weights as numbers that single words look up faster
+    shapes: dict[bytes, float] = field(default_factory=dict, repr=False)  # weight of a shape; few occur
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "plain": [], "shapes": {}}
+
+    def _shape(self, kinds: bytes) -> float:
+        w = self.plain[zlib.crc32(b"s" + _runs.sub(rb"\1\1", kinds)[:12]) % HASH]
+        if len(kinds) < 40 and len(self.shapes) < CACHE_WORDS:
+            self.shapes[kinds] = w
+        return w
 
     def _word(self, word: bytes) -> float:
-        w = float(self.weights[list(slots(word))].sum())
-        if len(word) < 40:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
+        if not self.plain:
+            self.plain = self.weights.tolist()
+        kinds = word.translate(KINDS)
+        w = self.shapes.get(kinds)
+        w = self.plain[zlib.crc32(b"w" + word.lower()) % HASH] + (self._shape(kinds) if w is None else w)
+        if len(word) < 40 and len(self.known) < CACHE_WORDS:
             self.known[word] = w
         return w
 
@@ -200,7 +213,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> WeakQuality:
     counts = {r[0]: r[1] for r in with_patterns(docs).groupBy("pattern").count().collect()}  # at most 3^m rows
     posterior, rates = posteriors(counts)
     share = min(1.0, 4 * sample / max(sum(counts.values()), 1))
-    some = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).withColumn("at", F.xxhash64("doc_id", "text"))
+    some = docs.select("doc_id", "text").filter(F.length(text_or_empty()) <= SAMPLE_CHARS).withColumn("at", F.xxhash64("doc_id", "text"))
     some = some.filter(F.pmod("at", F.lit(1 << 20)) <= share * (1 << 20)).orderBy("at", "doc_id").limit(sample)
     rows = [r[0] or "" for r in some.select("text").collect()]
     return WeakQuality(posterior, rates, fit(rows, [posterior.get(pattern(t), 0.5) for t in rows]))
