@@ -21,6 +21,7 @@ Without labels of both classes all scores are the share of toxic labels.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from array import array
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairline.llm.common import fresh, texts
+from fairline.llm.common import fresh, text_or_empty, texts
 from fairline.session import cut_lineage
 
 #: labelled documents of each class that the fit reads, and how long they may be
@@ -294,22 +295,38 @@ def fit(rows: list[str], toxic: list[int], shares: dict[int, float]) -> ToxicCrf
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample: dict[int, int] = SAMPLE) -> ToxicCrf:
-    """Fit on labelled documents outside ``fold``; at most ``sample`` rows of each class reach the driver.
+    """Fit on labelled documents outside ``fold``, on at most ``sample`` rows of each class.
 
-    Texts of more than ``SAMPLE_CHARS`` characters are left to others of their class.
+    The fit runs in one task, so the driver holds nothing but the weights.  Texts
+    of more than ``SAMPLE_CHARS`` characters are left to others of their class.
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out("doc_id", folds, fold))
     shares = {r[0]: float(r[1]) for r in known.groupBy("toxic").count().collect() if r[0] in (0, 1)}
-    readable = docs.filter(F.length("text") <= SAMPLE_CHARS)
+    readable = docs.filter(F.length(text_or_empty()) <= SAMPLE_CHARS)
     known = cut_lineage(known.join(readable.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    found = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     picked = None
     for label, n in sample.items():
-        some = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        # the lowest hashes: four times as many as are needed go to the sort, however large the class
+        reach = int(min(1.0, (4 * n + 1000) / max(found.get(label, 0), 1)) * 2**64) - 2**63
+        some = known.filter((F.col("toxic") == label) & (F.xxhash64("doc_id") <= F.lit(min(reach, 2**63 - 1))))
+        some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = some if picked is None else picked.unionByName(some)
-    rows = readable.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").collect()  # at most sum(sample) rows
-    return fit([r[0] for r in rows], [r[1] for r in rows], shares)
+    rows = readable.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    learn = fit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: list[str] = []
+        toxic: list[int] = []
+        for batch in batches:
+            read += texts(batch.column(0))
+            toxic += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(read, toxic, shares))], pa.binary())], names=["model"])
+
+    one = rows.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic")  # at most sum(sample) rows
+    made = one.mapInArrow(run, "model binary").first()
+    return pickle.loads(made[0]) if made else fit([], [], shares)
 
 
 def tagged(docs: DataFrame, model: ToxicCrf) -> DataFrame:
