@@ -40,7 +40,8 @@ def expectation(diff: Column | str) -> Column:
     return 1.0 / (1.0 + F.pow(F.lit(10.0), -diff / RATING_SCALE))
 
 
-def _game_table(teams: DataFrame) -> DataFrame:
+def game_table(teams: DataFrame) -> DataFrame:
+    """One row per game: gameid, date, its teams a and b, result of a, and whether both sides are there."""
     side = F.struct("side", "teamid", "opp_teamid", F.col("result").cast("double").alias("result"))
     per_game = teams.groupBy("gameid").agg(
         F.min("date").alias("date"), F.count(F.lit(1)).alias("rows"), F.min(side).alias("a"), F.max(side).alias("b")
@@ -128,8 +129,14 @@ def rate_games(
     value.  ``chunk_games`` bounds the games one task folds per round; by
     default the games are spread over the cluster's task slots.
     """
-    spark = teams.sparkSession
-    table = cut_lineage(_game_table(teams), "games")
+    return rate_table(cut_lineage(game_table(teams), "games"), initial, chunk_games, tolerance)
+
+
+def rate_table(
+    table: DataFrame, initial: DataFrame | None = None, chunk_games: int | None = None, tolerance: float = 1e-10
+) -> tuple[DataFrame, DataFrame]:
+    """``rate_games`` for a stored table of games as ``game_table`` makes it."""
+    spark = table.sparkSession
     if chunk_games is None:
         slots = max(8, spark.sparkContext.defaultParallelism)
         chunk_games = min(500_000, max(2_500, table.count() // slots))
