@@ -111,7 +111,27 @@ def differences(spark, sf):
     return dataset_rows(spark, sf).select(*KEYS, f"diff_{_COUNT}", *_DIFF)
 
 
-@register(REGISTRY, "P1_P3_feature_columns")
+#: every numeric column of the modelling dataset with its SQL, by name
+_OWN = [*FLOATS, *INTS]
+_OTHERS = {f"opp_{c}": f"o.{c}" for c in _OWN if c not in C.NO_OPPONENT}
+_GAPS = {f"diff_{c}": f"t.{c} - o.{c}" for c in _OWN if c not in C.NO_DIFF}
+NUMBERS = {**{c: f"t.{c}" for c in _OWN}, **_OTHERS, **_GAPS}
+
+
+def known_sql(columns: dict[str, str]) -> str:
+    """One row per column: name, known rows, all rows; the dataset is read once."""
+    counts = ", ".join(f"count({e})" for e in columns.values())
+    names = ", ".join(f"'{c}'" for c in columns)
+    return FEATURES + f""",
+cn AS (SELECT [{counts}] AS k, count(*) AS n FROM f t LEFT JOIN f o ON t.gameid = o.gameid AND t.opp_teamid = o.teamid),
+kn AS (SELECT unnest([{names}]) AS column_name, unnest(k) AS known_rows, n FROM cn)"""
+
+
+@register(REGISTRY, "P1_P3_feature_columns",
+          sql(known_sql({**NUMBERS, **{c: f"t.{c}" for c in C.CATEGORICAL}}),
+              f"""SELECT column_name, known_rows::DOUBLE / n AS known_share, known_rows * 2 < n AS sparse,
+  CASE WHEN column_name IN {C.CATEGORICAL} THEN 'categorical' ELSE 'numeric' END AS role FROM kn""",
+              ["column_name", "sparse", "role"], ["known_share"]))
 def feature_list(spark, sf):
     """Column roles of the dataset with their known share, from the data itself."""
     ds = dataset_rows(spark, sf)
