@@ -67,26 +67,26 @@ def search_team(teams: DataFrame, name: str, column: str = "teamname") -> DataFr
     return teams.filter(F.when(exact, low == name.lower()).otherwise(low.contains(name.lower())))
 
 
+def h2h_totals(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Games and wins of (teamid, opp_teamid) in ``rows``; up to ``asof`` if ``asked`` has that column."""
+    keys = ["teamid", "opp_teamid"]
+    games = {"h2h_n": F.lit(1), "h2h_wins": F.col("result")}
+    if "asof" in asked.columns:
+        from fairline.plans.asof import asof_totals
+
+        return asof_totals(asked, rows, keys, "asof", games)
+    return asked.join(rows.groupBy(*keys).agg(*[F.sum(e).alias(n) for n, e in games.items()]), keys, "left")
+
+
 def h2h_lookup(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Record of (team, opp) in ``rows`` for every pair, shrunk to its prior.
 
     ``pairs`` has teamid, opp_teamid, prior and optionally ``asof``; with it
     only games up to that instant count, one count per (pair, asof).
     """
-    keys = ["teamid", "opp_teamid"]
-    if "asof" not in pairs.columns:
-        record = rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("h2h_n"), F.sum("result").alias("_wins")
-        )
-        joined = pairs.join(record, keys, "left")
-    else:
-        from fairline.plans.asof import asof_totals
-
-        joined = asof_totals(
-            pairs, rows, keys, "asof", {"h2h_n": F.lit(1), "_wins": F.col("result")}
-        )
-    n, w = F.coalesce("h2h_n", F.lit(0)), F.coalesce("_wins", F.lit(0))
-    return joined.withColumns({"h2h_n": n, "h2h_wr": shrunk_rate(n, w, SHRINK_H2H, F.col("prior"))}).drop("_wins")
+    n, w = F.coalesce("h2h_n", F.lit(0)), F.coalesce("h2h_wins", F.lit(0))
+    joined = h2h_totals(rows, pairs)
+    return joined.withColumns({"h2h_n": n, "h2h_wr": shrunk_rate(n, w, SHRINK_H2H, F.col("prior"))}).drop("h2h_wins")
 
 
 def staleness(latest: DataFrame, asof: Column, min_games: int = 20, max_days: int = 14) -> DataFrame:

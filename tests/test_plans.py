@@ -140,6 +140,48 @@ def test_asof_equals_brute_force(spark, log):
         assert {r["probe"]: r["f"]["gameid"] if r["f"] else None for r in out.collect()} == want
 
 
+def test_pair_features_equal_brute_force(spark):
+    """Both sides, repeated pairs, early probes, unknown teams, and a team without an id."""
+    from fairline.operators.matchups import pair_features, with_h2h
+
+    rng = random.Random(5)
+    names = ["A", "b", "C"]
+    facts = []
+    for game in range(60):
+        one, two = rng.sample(names, 2)
+        day = f"2024-01-{game // 3 + 2:02d} 10:00:00"
+        won = rng.randint(0, 1)
+        for me, other, r in ((one, two, won), (two, one, 1 - won)):
+            facts.append((game, None if me == "C" else me.lower(), None if other == "C" else other.lower(), me, day, r, rng.random()))
+    cols = "gameid long, teamid string, opp_teamid string, teamname string, date string, result int, wr_L10 double"
+    rows = spark.createDataFrame(facts, cols).withColumn("date", F.to_timestamp("date"))
+    for c in ("league", "split", "patch"):
+        rows = rows.withColumn(c, F.lit("x"))
+    rows = rows.withColumn("playoffs", F.lit(0))
+    asked = [(a, b, f"2024-01-{d:02d} 12:00:00") for a in ("a", "B", "c", "nobody", None) for b in ("A", "c") for d in (1, 5, 9)]
+    pairs = spark.createDataFrame(asked * 2, "team1 string, team2 string, at string").withColumn("asof", F.to_timestamp("at"))
+
+    def newest(team, at):
+        mine = sorted((f[4], f[0], f) for f in facts if team and f[3].lower() == team.lower())
+        before = [x for x in mine if x[0] <= at]
+        return (before[-1] if before else mine[0])[2] if mine else None
+
+    out = with_h2h(pair_features(pairs, rows), rows).collect()
+    assert len(out) == len(asked) * 2
+    for r in out:
+        for side, team in (("r1", r.team1), ("r2", r.team2)):
+            want = newest(team, r.at)
+            assert (r[side] is None) == (want is None)
+            if want:
+                assert r[side]["wr_L10"] == want[6]
+        one, two = newest(r.team1, r.at), newest(r.team2, r.at)
+        if one and two:
+            met = [f for f in facts if f[1] and f[1] == one[1] and f[2] and f[2] == two[1] and f[4] <= r.at]
+            n, wins = len(met), sum(f[5] for f in met)
+            assert r.n_12 == r.n_21 == n
+            assert r.h2h_12 == pytest.approx(n / (n + 5) * (wins / max(n, 1)) + 5 / (n + 5) * one[6])
+
+
 def test_split_edges(spark):
     from fairline.operators.validation import temporal_split
 
