@@ -23,6 +23,7 @@ training texts every word is unseen and the base score is 0.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -105,9 +106,34 @@ class Lexicon:
         return int(self.total - self.end - self.counts[: self.n_words].sum()), self.distinct - seen
 
 
+def head_words(words: DataFrame, head: int) -> DataFrame:
+    """The most frequent words, at most ``head`` rows.
+
+    The count at the cut is found from sizes of classes of counts, so that no
+    partition sends its own top rows to the driver.  Of words tied at the cut
+    those with small hashes are taken, or none if these were too many.
+    """
+    level = F.floor(F.log2("c") * 8)
+    above = 0
+    for step, n in sorted(words.groupBy(level).count().collect(), reverse=True):  # at most 8 per power of two
+        if above + n > head:
+            break
+        above += n
+    else:
+        return words
+    for cut, n in sorted(words.filter(level == step).groupBy("c").count().collect(), reverse=True):  # counts of one level
+        if above + n > head:
+            break
+        above += n
+    room = max(0, head - above - 3 * math.isqrt(head - above))  # hashes scatter around the share that is asked for
+    tied = (F.col("c") == cut) & (F.pmod(F.xxhash64("word"), F.lit(1 << 31)) < room * (1 << 31) // n)
+    picked = words.filter((F.col("c") > cut) | tied)
+    return picked if picked.count() <= head else words.filter(F.col("c") > cut)
+
+
 def lexicon(counts: DataFrame, classes: int = CLASSES, head: int = HEAD) -> Lexicon:
     total, distinct, end = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == "", F.col("c")))).first()
-    rows = counts.filter("word <> ''").orderBy(F.desc("c"), "word").limit(head).collect()  # at most head rows
+    rows = sorted(head_words(counts.filter("word <> ''"), head).collect(), key=lambda r: (-r[1], r[0]))
     return Lexicon({r[0].encode(): k for k, r in enumerate(rows)}, np.array([r[1] for r in rows], np.int64), total or 0, distinct, classes, end or 0)
 
 

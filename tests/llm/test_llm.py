@@ -262,6 +262,28 @@ def test_op5_scores(docs, data, empty):
     assert lbl_lm.score_documents(empty).count() == 0
 
 
+def test_op5_head_words(spark):
+    """The cut takes all words above a count and a bounded part of those tied at it."""
+    r = random.Random(3)
+    words = {f"w{k}": c for k, c in enumerate([*(r.randrange(1, 2000) for _ in range(900)), *[1] * 4000, *[7] * 300, 1 << 40])}
+    df = spark.createDataFrame(list(words.items()), "word string, c long")
+    by_count = collections.Counter(words.values())
+    for head in (0, 1, 40, 700, 1150, 2000, 6000):
+        got = {x.word: x.c for x in lbl_lm.head_words(df, head).collect()}
+        assert len(got) <= head and all(words[w] == c for w, c in got.items())
+        above, cut = 0, None
+        for c in sorted(by_count, reverse=True):
+            if above + by_count[c] > head:
+                cut = c
+                break
+            above += by_count[c]
+        full = {w for w, c in words.items() if cut is None or c > cut}
+        assert full <= set(got) and all(c == cut for w, c in got.items() if w not in full)
+        if head >= 700:  # ties fill most of what is left
+            assert len(got) >= 0.85 * min(head, len(words))
+    assert lbl_lm.head_words(df.filter("false"), 5).count() == 0
+
+
 def test_op5_probabilities_sum_to_one():
     unigram = np.array([5.0, 3, 2, 1, 1]) / 12
     trainer = lbl_lm.Trainer(lbl_lm.Model.start(unigram, 4), unigram)
