@@ -27,7 +27,7 @@ from fairline.llm.common import drop_keys, text_or_empty
 from fairline.session import cut_lineage
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
-#: shingles of benchmarks that are broadcast (16 bytes each); more are joined by a shuffle
+#: distinct pairs of item and shingle that are broadcast; more are joined by a shuffle
 BROADCAST_SHINGLES = 1_000_000
 DOC = ("doc_id", "text_hash")
 
@@ -65,8 +65,9 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rad
     held = items.select("item_id", F.explode(shingles(text_or_empty())).alias("s"))
     held = cut_lineage(held, "item-shingles")
     sizes = held.groupBy("item_id").agg(F.count(F.lit(1)).alias("m"))
-    known = held.select("s").distinct()
-    small = known.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
+    known, pairs = held.select("s").distinct(), held.distinct()
+    # there are no more shingles than pairs, so one count bounds both
+    small = pairs.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
     bounded = F.broadcast if small else (lambda df: df)
 
     read = docs.select(F.struct("doc_id").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), shingles(text_or_empty()))
@@ -75,7 +76,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rad
 
     # positions of a document whose shingle an item has, numbered; a window needs enough of them
     pair = [*DOC, "item_id"]
-    found = hits.join(bounded(held.distinct()), "s").select(*pair, "total", "pos").distinct()
+    found = hits.join(bounded(pairs), "s").select(*pair, "total", "pos").distinct()
     enough = found.groupBy(*pair).agg(F.count(F.lit(1)).alias("shared")).join(sizes, "item_id")
     enough = enough.filter(F.col("shared") >= F.ceil(F.col("m") * similarity)).select(*pair, "m")
     found = cut_lineage(found.join(enough, pair), "found")
