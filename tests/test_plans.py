@@ -126,6 +126,22 @@ def test_affine_scan_equals_fold(spark, segment):
     assert all(got[k] == pytest.approx(v, rel=1e-10) for k, v in want.items())
 
 
+@pytest.mark.parametrize("low, high", [(0.5, 0.7), (1.2, 1.5)])
+def test_affine_scan_beyond_the_range_of_doubles(spark, low, high):
+    """Products of 3,000 factors are 0 or infinite; the states are those of a fold all the same."""
+    rng = random.Random(5)
+    rows, want, x = [], [], 10.0
+    for i in range(3000):
+        a, b = rng.uniform(low, high), rng.uniform(0, 2)
+        rows.append(("p", i, a, b, 10.0))
+        want.append(x)
+        x = a * x + b
+    df = spark.createDataFrame(rows, "key string, seq long, a double, b double, x0 double")
+    out = affine_scan(df, ["key"], "seq", "a", "b", 3000, "x0", "x", 16)
+    got = [r["x"] for r in out.orderBy("seq").collect()]
+    assert got == pytest.approx(want, rel=1e-10)
+
+
 def test_asof_equals_brute_force(spark, log):
     facts = log.filter(F.col("id") % 3 == 0).select("key", "date", F.col("id").alias("gameid"))
     probes = log.filter(F.col("id") % 3 == 1).select("key", F.col("date").alias("at"), F.col("id").alias("probe"))
