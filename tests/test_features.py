@@ -1,10 +1,13 @@
 """Properties of the feature table."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from fairline import fixtures
 from fairline.operators import dataset, draft, features, rosters
+from fairline.operators.ratings import elo_ratings
 from fairline.plans.slices import ONE_SLICE, plan_slices
 from fairline.sources.match_log import pair_opponents
 
@@ -102,3 +105,26 @@ def test_junk_ids_are_limited_before_the_exchange(spark):
     out = pair_opponents(df)
     assert {tuple(r) for r in out.select("gameid", "teamid", "opp_teamid").collect()} == {(1, "A", "B"), (1, "B", "A")}
     assert "WindowGroupLimit" in out._jdf.queryExecution().toString()
+
+
+def _inputs(df, operator):
+    """Input columns of every operator of this name in the physical plan."""
+    spark = df.sparkSession
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    blocks = [b for b in text.split("\n\n") if re.match(rf"\(\d+\) {operator}\b", b.strip())]
+    return [line for b in blocks for line in b.splitlines() if line.startswith("Input")]
+
+
+def test_wide_rows_do_not_go_through_windows(teams):
+    """Every group of features sorts what it reads; a column that none reads is not among it."""
+    wide = teams.withColumn("memo", F.lit("x"))
+    for out in (features.build_features(wide, ONE_SLICE), elo_ratings(wide, ONE_SLICE)):
+        found = _inputs(out, "Window")
+        assert found and not [x for x in found if "memo#" in x]
+        assert "memo" in out.columns
+
+
+def test_mirrored_rows_move_the_columns_that_are_read(teams):
+    ds = dataset.mirror_dataset(features.build_features(teams, ONE_SLICE)).select("gameid", "opp_wr_L5")
+    found = _inputs(ds, "Window")
+    assert found and not [x for x in found if "fb_rate_L10#" in x]
