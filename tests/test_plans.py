@@ -142,6 +142,24 @@ def test_affine_scan_beyond_the_range_of_doubles(spark, low, high):
     assert got == pytest.approx(want, rel=1e-10)
 
 
+def test_affine_scan_with_missing_values(spark):
+    """A row without a factor has no state, and counts as one after the first factor of its segment."""
+    rng = random.Random(11)
+    rows, want, x, segment, seen = [], [], 10.0, 8, False
+    for i in range(100):
+        seen = seen and i % segment != 0
+        a = None if i % 3 == 1 or i % 40 < 2 else rng.uniform(0.9, 1.1)
+        b = None if i % 7 == 3 else rng.uniform(0, 2)
+        rows.append(("p", i, a, b, 10.0))
+        want.append(None if a is None else x)
+        seen = seen or a is not None
+        x = (1.0 if a is None else a) * x + (b or 0.0) * seen
+    df = spark.createDataFrame(rows, "key string, seq long, a double, b double, x0 double")
+    out = affine_scan(df, ["key"], "seq", "a", "b", 100, "x0", "x", segment)
+    for got, expected in zip((r["x"] for r in out.orderBy("seq").collect()), want):
+        assert got is None if expected is None else got == pytest.approx(expected, rel=1e-10)
+
+
 def test_asof_equals_brute_force(spark, log):
     facts = log.filter(F.col("id") % 3 == 0).select("key", "date", F.col("id").alias("gameid"))
     probes = log.filter(F.col("id") % 3 == 1).select("key", F.col("date").alias("at"), F.col("id").alias("probe"))
