@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,13 @@ OUT = (
     "market long, snap_ts timestamp, mid double, yes_filled boolean, no_filled boolean, hedge_side string, "
     "hedge_price double, adverse boolean, drift boolean"
 )
-_STATE = "yes_alive boolean, no_alive boolean, original double, anchor double, hedge_side string"
+#: groups of markets whose state is kept together, so that one call handles many markets
+GROUPS = 1024
+#: what a group keeps: the values of each of its markets, in the markets' order
+_STATE = (
+    "market array<bigint>, yes_alive array<boolean>, no_alive array<boolean>, original array<double>, "
+    "anchor array<double>, hedge_side array<string>"
+)
 
 
 def watch_batch(snaps: DataFrame, slices: Slices | None = None) -> DataFrame:
@@ -69,31 +76,71 @@ def watch_batch(snaps: DataFrame, slices: Slices | None = None) -> DataFrame:
     )
 
 
+def _before(hit: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether an earlier row of the market is hit; ``first`` is the position of the market's first row."""
+    earlier = np.cumsum(hit) - hit
+    return earlier > earlier[first]
+
+
 def _watch(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    yes_alive, no_alive, original, anchor, held = state.get if state.exists else (True, True, None, None, None)
-    looks = pd.concat(list(batches)).sort_values("snap_ts")
-    out = []
-    for ts, mid, yes_open, no_open in looks[["snap_ts", "mid", "yes_open", "no_open"]].itertuples(index=False):
-        untouched = yes_alive and no_alive
-        yes, no = yes_alive and not yes_open, no_alive and not no_open
-        yes_alive, no_alive = yes_alive and not yes, no_alive and not no
-        adverse = held is not None and ((held == "NO" and mid - anchor < -ADVERSE) or (held == "YES" and mid - anchor > ADVERSE))
-        hedge = price = None
-        if untouched and yes != no:
-            hedge = "NO" if yes else "YES"
-            price = round(min(1.0 - mid + TIGHTER, 0.99), 2) if yes else round(max(mid - TIGHTER, 0.01), 2)
-            anchor, held = mid, hedge
-        original = mid if original is None else original
-        drift = yes_alive and no_alive and abs(mid - original) > DRIFT
-        out.append((key[0], ts, mid, yes, no, hedge, price, adverse, drift))
-    state.update((yes_alive, no_alive, original, anchor, held))
-    yield pd.DataFrame(out, columns=["market", "snap_ts", "mid", "yes_filled", "no_filled", "hedge_side", "hedge_price",
-                                     "adverse", "drift"])
-
-
-def watch_stream(snaps: DataFrame) -> DataFrame:
-    """The same rows from a stream of looks, with five values of state per market."""
-    return snaps.groupBy("market").applyInPandasWithState(
+    """New looks of a group's markets; markets without a number are a group of their own, and one market."""
+    looks = pd.concat(list(batches), ignore_index=True)
+    if unknown := key[0] < 0:
+        looks["market"] = 0
+    looks = looks.sort_values(["market", "snap_ts"], kind="stable", ignore_index=True)
+    market = looks["market"].to_numpy(np.int64)
+    new, starts, code = np.unique(market, return_index=True, return_inverse=True)
+    first, ends, at = starts[code], np.append(starts[1:], len(market)) - 1, np.arange(len(market))
+    mid = looks["mid"].to_numpy(np.float64)
+    yes_open, no_open = ((looks[c] == True).to_numpy(bool) for c in ("yes_open", "no_open"))  # noqa: E712 - unknown is not open
+
+    kept = pd.DataFrame(dict(zip(("market", "yes", "no", "original", "anchor", "held"), state.get if state.exists else [[]] * 6)))
+    kept = kept.astype({"market": "int64", "original": "float64", "anchor": "float64", "held": "object"}).set_index("market")
+    mine = kept.reindex(new)
+    known = np.isin(new, kept.index.to_numpy())
+    yes_then, no_then = (np.where(known, mine[c] == True, True) for c in ("yes", "no"))  # noqa: E712
+    original = np.where(known, mine["original"], mid[starts])
+    anchor, held = mine["anchor"].to_numpy(np.float64), np.where(mine["held"].isna(), "", mine["held"]).astype(object)
+
+    yes_alive = yes_then[code] & ~_before(~yes_open, first)
+    no_alive = no_then[code] & ~_before(~no_open, first)
+    yes, no = yes_alive & ~yes_open, no_alive & ~no_open
+    one = yes_alive & no_alive & (yes != no)  # at most one look of a market
+    hedge = np.where(one, np.where(yes, "NO", "YES"), "").astype(object)
+    price = np.full(len(market), np.nan)
+    price[one] = [round(min(1.0 - m + TIGHTER, 0.99), 2) if y else round(max(m - TIGHTER, 0.01), 2) for m, y in zip(mid[one].tolist(), yes[one])]
+    hedged = np.full(len(new), len(market))
+    hedged[code[one]] = at[one]
+    has = hedged < len(market)
+    later = at > hedged[code]
+    spot = np.minimum(hedged, len(market) - 1)
+    anchor_now, held_now = np.where(has, mid[spot], anchor), np.where(has, hedge[spot], held)
+    move = mid - np.where(later, anchor_now[code], anchor[code])
+    side = np.where(later, held_now[code], held[code])
+    adverse = ((side == "NO") & (move < -ADVERSE)) | ((side == "YES") & (move > ADVERSE))
+    yes_alive, no_alive = yes_alive & ~yes, no_alive & ~no
+    drift = yes_alive & no_alive & (np.abs(mid - original[code]) > DRIFT)
+
+    now = pd.DataFrame({"yes": yes_alive[ends], "no": no_alive[ends], "original": original, "anchor": anchor_now, "held": held_now}, index=new)
+    others = kept[~kept.index.isin(new)]
+    now = pd.concat([others, now]) if len(others) else now
+    sides = [h or None for h in now["held"].where(now["held"].notna(), "")]
+    state.update((now.index.tolist(), now["yes"].astype(bool).tolist(), now["no"].astype(bool).tolist(),
+                  now["original"].tolist(), now["anchor"].tolist(), sides))
+    yield pd.DataFrame({
+        "market": pd.Series(market, dtype="Int64").mask(np.full(len(market), unknown)), "snap_ts": looks["snap_ts"], "mid": mid,
+        "yes_filled": yes, "no_filled": no, "hedge_side": [h or None for h in hedge], "hedge_price": price, "adverse": adverse, "drift": drift})
+
+
+def watch_stream(snaps: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """The same rows from a stream of looks, with five values of state per market.
+
+    The state of a group of markets is one row and one call handles the group's
+    new looks, so the number of calls does not grow with the markets.  ``groups``
+    is a part of a stream's checkpoint and must not change.
+    """
+    group = F.when(F.col("market").isNull(), -1).otherwise(F.pmod(F.xxhash64("market"), F.lit(groups)))
+    return snaps.withColumn("_group", group).groupBy("_group").applyInPandasWithState(
         _watch, OUT, _STATE, "append", GroupStateTimeout.NoTimeout
     )
 
