@@ -27,6 +27,6 @@ def test_tables_of_one_reader_are_not_stored(spark, sf, tmp_path):
     parts = []
     assert not {"dataset", "dev", "holdout"} & stored(lambda: parts.extend(models._parts(spark, source)))
     whole = mirrored(spark, source)
-    shown = lambda df: sorted(df.select("gameid", "side", "opp_wr_L5", "diff_elo_team").collect())
+    shown = lambda df: sorted(df.select("gameid", "side", "opp_wr_L5", "diff_wr_L10").collect())
     for got, want in zip(parts[:2], validation.split_rows(whole, assignment(spark, source))):
         assert got.columns == want.columns and shown(got) == shown(want)
